@@ -75,7 +75,7 @@ def _covered(starts: Column) -> Column:
 
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the array column _w and the counts of COUNTS and TABLE, as longs."""
+    """docs with the counts of COUNTS and TABLE, as longs."""
     held = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_w", word_array(F.col(text))).withColumn("_n", F.size("_w"))
     # windows are compared by a 64-bit hash of their three words
@@ -100,7 +100,9 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),
         "n_repeat_words": F.coalesce(_covered(F.col("_p")), F.lit(0)),
     }
-    return df.withColumns({k: v.cast("long") for k, v in made.items()})
+    # filters on counts must not move below, where each would expand to nested array functions: a generator stops them
+    counts = F.array(F.struct(*[v.cast("long").alias(k) for k, v in made.items()]))
+    return df.select(*docs.columns, F.inline(counts))
 
 
 def judged(docs: DataFrame, base: tuple[Rule, ...] = BASE, table: tuple[Rule, ...] = TABLE) -> DataFrame:

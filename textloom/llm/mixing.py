@@ -9,7 +9,7 @@ is then drawn by a seeded hash, so reruns agree.
 
 A histogram has one row for each length of a source; it grows with the longest text, not
 with the corpus, and is fitted by one task for each source. Drawing ranks documents within slices of
-the hash, so one hot length is spread over SLICES tasks.
+the hash, so one hot length is spread over many tasks.
 
 Defined results: the null source is a source, ordered last; null and empty texts have
 size 0 and are never taken; an empty table gives an empty result; equal rows are drawn
@@ -115,8 +115,30 @@ def n_words(text: Column) -> Column:
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken and copies (taken = copies * size) of every row."""
+    # texts are read once
+    df = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    return drawn(df, weights, share, cap, seed).select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def taken(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with the columns they came with.
+
+    Documents are drawn from a table without texts; texts are shuffled once, to meet what was drawn.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.xxhash64("doc_id", "source", "size").alias("_key")
+    df = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), whole.alias("_row"))
+    sizes = written(df.select("doc_id", "source", "size"), "sizes")
+    made = drawn(sizes, weights, share, cap, seed).select(key, "copies").groupBy("_key").agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
+    # rows that share a key, such as repeated ones, get one entry each
+    df = df.select(key, "_row").withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    out = df.join(made.hint("merge"), "_key").withColumn("_n", F.get("_copies", F.col("_i") - 1)).where("_n > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), "_n")).alias("_copy")).select("_row.*")
+
+
+def drawn(df: DataFrame, weights: Sequence[float], share: float, cap: int, seed: int) -> DataFrame:
+    """df (doc_id, source and size) with source_size, target and copies."""
     weights = tuple(weights)
-    df = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")  # texts are read once
     hist = df.groupBy("source", "size").agg(F.count("*").alias("_docs"))
     by_source = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("_docs")).cast("long").alias("source_size"))
 
@@ -148,4 +170,5 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
     df = df.withColumn("_rank", F.row_number().over(order))
     on = F.expr("source <=> _source and size = _size and _slice = _of")
     copies = F.col("_passes") + F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0)
-    return df.join(cuts, on).select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).cast("int").alias("copies"))
+    df = df.join(cuts.hint("merge"), on).withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("int"))
+    return df.drop("_source", "_size", "_of", "_left", "_passes", "_rank", "_hash", "_slice")

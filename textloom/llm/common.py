@@ -6,7 +6,9 @@ Words are maximal runs of anything but the six ASCII white-space characters
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -114,5 +116,16 @@ def arrow_map(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
     return each
 
 
+def worker_memo(name: str, make: Callable):
+    """What make() returned first under this name in this Python worker; tasks that reuse the worker find it again.
+
+    For stores that only save time: a new worker starts without.
+    """
+    memo = sys.modules.setdefault("_textloom_memo", types.ModuleType("_textloom_memo")).__dict__
+    if name not in memo:
+        memo[name] = make()
+    return memo[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

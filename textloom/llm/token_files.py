@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import partitions, scratch_path, written
+from .common import partitions, scratch_path, worker_memo, written
 
 END_ID = 1
 MAGIC = b"TLTOKENS"
 #: magic, version, bytes of an id, documents, ids
 HEADER = "<8sIIqq"
-#: Words whose ids a task keeps; past it the store is emptied, so memory is bounded.
-MAX_WORDS = 400_000
+#: Words whose ids a worker keeps at most.
+MAX_WORDS = 1_000_000
 NO_ID = -(2**63)
 
 
@@ -48,30 +48,47 @@ def filesystem(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
 
 
+class Words(dict):
+    """Packed ids by word. Two generations of at most MAX_WORDS / 2 words: what is used again survives."""
+
+    def __init__(self, tokenizer, kind: np.dtype):
+        self.tokenizer, self.kind, self.old = tokenizer, kind, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.made(word)
+            if len(word) > 256:
+                return ids
+        if len(self) >= MAX_WORDS // 2:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def made(self, word: bytes) -> bytes:
+        # the tokenizer lower-cases, and splits between a letter and a stop: variants share one lookup
+        if len(word) > 2 and word[-1:] in (b",", b".") and word[-2:-1].isalpha():
+            return self[word[:-1]] + self[word[-1:]]
+        if word.isascii() and b"<|" not in word and (low := word.lower()) != word:
+            return self[low]
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
+
+
 class Encoder:
     """Token ids of whole texts as packed integers, a word at a time."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.words: dict[bytes, bytes] = {}
+        self.words = Words(tokenizer, self.kind)
+        self.end = np.array([END_ID], self.kind).tobytes()
 
     def __call__(self, text: bytes) -> bytes:
-        words, out = self.words, []
-        for word in text.split():
-            ids = words.get(word)
-            if ids is None:
-                if len(words) >= MAX_WORDS:
-                    words.clear()
-                ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
-                if len(word) <= 256:
-                    words[word] = ids
-            out.append(ids)
-        out.append(np.array([END_ID], self.kind).tobytes())
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, text.split())) + self.end
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
@@ -85,7 +102,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             if encode is None:
-                encode = Encoder(tokenizer)
+                encode = worker_memo(f"tokens of {tokenizer}", lambda: Encoder(tokenizer))
                 name = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}"
                 store, root = filesystem(folder)
                 store.create_dir(root, recursive=True)

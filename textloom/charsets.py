@@ -55,6 +55,17 @@ def java_class(*classes: Ranges, negated: bool = False) -> str:
     return f"[{'^' * negated}{_written(union(*classes), chr(92) + 'x{%X}')}]"
 
 
+def java_rare(*classes: Ranges) -> str:
+    """The same for a class of many ranges: ASCII is told by one comparison, and the ranges are tried for other characters only.
+
+    Characters beyond the basic plane stand as they are: a look-behind reads them whole only then.
+    """
+    ascii_part, rest = (ranges(p for p in points(*classes) if (p < 128) is low) for low in (True, False))
+    written = "".join((chr(a) if a > 0xFFFF else rf"\x{{{a:X}}}") + ("" if a == b else "-" + (chr(b) if b > 0xFFFF else rf"\x{{{b:X}}}")) for a, b in rest)
+    found = rf"(?![\x00-\x7F])[{written}]"
+    return f"(?:{java_class(ascii_part)}|{found})" if ascii_part else f"(?:{found})"
+
+
 def category(*names: str) -> Ranges:
     """All code points of these general categories (two letters, or one for all that start with it)."""
     found = []

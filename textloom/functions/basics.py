@@ -13,8 +13,8 @@ from .. import charsets as cs
 SPACE = cs.java_class(cs.PY_SPACE)
 #: Marks a cut; a code point that no text holds.
 MARK = "\ufdd1"
-DIGIT = cs.java_class(cs.UCD.digits)
-WORD = cs.java_class(cs.UCD.word, cs.chars("_"))
+DIGIT = cs.java_rare(cs.UCD.digits)
+WORD = cs.java_rare(cs.UCD.word, cs.chars("_"))
 
 
 def held(text: Column) -> Column:

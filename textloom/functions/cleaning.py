@@ -18,8 +18,7 @@ from .basics import DIGIT, SPACE, held, hits, without
 
 _INDENT = cs.java_class(cs.chars(cs.INDENT))
 _SELECTOR = cs.java_class(cs.VARIATION_SELECTORS)
-_MARK = cs.java_class(cs.minus(cs.UCD.marks, cs.VARIATION_SELECTORS))
-_NOT_MARK = cs.java_class(cs.minus(cs.UCD.marks, cs.VARIATION_SELECTORS), negated=True)
+_MARK = cs.java_rare(cs.minus(cs.UCD.marks, cs.VARIATION_SELECTORS))
 _NOT_SPACE = cs.java_class(cs.PY_SPACE, negated=True)
 _GAP = cs.java_class(cs.PY_SPACE, cs.chars(cs.NOISE_SEPARATORS))
 #: Stands for a removed run while its neighbours are looked at; a code point that no text holds.
@@ -28,7 +27,8 @@ NOISE_RUN = (
     r"(?<![A-Za-z0-9])(?=[0-9]*[A-Za-z])(?=[A-Za-z]*[0-9])(?=[A-Za-z0-9]*?([A-Za-z0-9])\1{3})"
     rf"([A-Za-z0-9]{{5,128}})(?![A-Za-z0-9])(?:{_GAP}+\2(?![A-Za-z0-9])){{{cs.NOISE_REPEATS - 1},}}+[ \t]*+"
 )
-FLOOD = rf"({cs.java_class(cs.UCD.symbols, cs.FLOOD_EXTRA)})\1{{{cs.FLOOD_CLEAN - 1},}}"
+#: That a character repeats is told before what it is.
+FLOOD = rf"(?s:(?=(.)\1{{{cs.FLOOD_CLEAN - 1}}})){cs.java_class(cs.UCD.symbols, cs.FLOOD_EXTRA)}\1{{{cs.FLOOD_CLEAN - 1},}}"
 LINE_END_SPACE = r"[ \t]+(?=\n|\z)"
 EXTRA_BLANK_LINES = r"(?<=\n\n)\n+"
 
@@ -70,13 +70,14 @@ def emoji_all(text: Column) -> Column:
 def pua_contextual(text: Column) -> Column:
     """Private-use characters repaired by their surroundings; in an order in which no repair is another's surroundings."""
     line_start = rf"(?<!{cs.java_class(cs.chars(cs.LINE_ENDS), negated=True)})({_INDENT}*)"
-    word = cs.java_class(cs.UCD.word, cs.chars("_“”\"'"))
+    word = cs.java_rare(cs.UCD.word, cs.chars("_“”\"'"))
     goes_on = rf"{_INDENT}*{cs.java_class(cs.chars(cs.INDENT), cs.chars(chr(13) + chr(10)), negated=True)}"
+    # the character comes first and its surroundings after: it is rare, they are not
     steps = [
-        (rf"(?<=[0-9A-Za-z)\]）】》”’])\x{{E010}}(?={SPACE}{{0,3}}{word})", "．"),
-        (rf"(?<=(?:{DIGIT}|[%‰℃°]){SPACE}{{0,11}})\x{{F07E}}(?={SPACE}{{0,11}}{DIGIT})", "~"),
-        (r"(?<=[A-Za-z])\x{E011}(?=[A-Za-z])", "-"),
-        (r"(?<=[A-Za-z])\x{E10B}(?=[A-Za-z])", "'"),
+        (rf"\x{{E010}}(?<=[0-9A-Za-z)\]）】》”’]\x{{E010}})(?={SPACE}{{0,3}}{word})", "．"),
+        (rf"\x{{F07E}}(?<=(?:{DIGIT}|[%‰℃°]){SPACE}{{0,11}}\x{{F07E}})(?={SPACE}{{0,11}}{DIGIT})", "~"),
+        (r"\x{E011}(?<=[A-Za-z]\x{E011})(?=[A-Za-z])", "-"),
+        (r"\x{E10B}(?<=[A-Za-z]\x{E10B})(?=[A-Za-z])", "'"),
         (rf"{line_start}\x{{F0B7}}(?={SPACE})(?={goes_on})", "$1-"),
         (rf"{line_start}\x{{F0B7}}(?={goes_on})", "$1- "),
         (rf"{line_start}\x{{E618}}(?={SPACE})", "$1-"),
@@ -86,14 +87,14 @@ def pua_contextual(text: Column) -> Column:
         (r"\x{E1BD}(?=束)", "约"),
         (rf"[\x{{E11A}}-\x{{E11C}}]|{cs.java_class(cs.PUA_NOISE)}", ""),
     ]
-    text = held(text)
+    out = held(text)
     for pattern, put in steps:
-        text = F.regexp_replace(text, pattern, put)
-    return text
+        out = F.regexp_replace(out, pattern, put)
+    return F.when(held(text).rlike(cs.java_class(cs.PUA)), out).otherwise(held(text))
 
 
 def combining_decoration(text: Column) -> Column:
-    return without(text, rf"\A{_MARK}+|(?<={_NOT_MARK}){_MARK}{{2,}}")
+    return without(text, rf"\A{_MARK}+|{_MARK}{{2,}}")
 
 
 def html_entity(text: Column) -> Column:
@@ -190,10 +191,8 @@ def may_change(text: Column, rules: Iterable[str]) -> Column:
             found = found | held(text).rlike(pattern)
     if "math_symbol_flood" in on:
         found = found | held(text).rlike(FLOOD)
-    if "line_boundary_space" in on and "line_separator" in on or "abnormal_space" in on:
-        found = found | held(text).rlike(cs.java_class(cs.PY_SPACE).replace(r"\x{9}-\x{D}", "").replace(r"\x{1C}-\x{20}", ""))
     if beyond:
-        found = found | held(text).rlike(r"[^\x00-\x7F]") & held(text).rlike(cs.java_class(*beyond))
+        found = found | held(text).rlike(r"[^\x00-\x7F]") & held(text).rlike(cs.java_rare(*beyond))
     return found
 
 

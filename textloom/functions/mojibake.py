@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .. import charsets as cs
 from ..kernels.mojibake import RULES, THRESHOLDS, classes
-from .basics import SPACE, held, hits, lines, matches, total
+from .basics import SPACE, held, hits, lines, matches, total, without
 
 _INSIDE_LINE = cs.java_class(cs.minus(cs.PY_SPACE, cs.chars("\n")))
 #: What stands on lines of white space alone; such lines are never reported, though they count for thresholds.
 BLANK_LINES = rf"(?<![^\n]){_INSIDE_LINE}+(?=\n|\z)"
-FLOOD = rf"({cs.java_class(cs.UCD.symbols, cs.FLOOD_EXTRA)})\1{{{cs.FLOOD_DETECT - 1},}}"
+FLOOD = rf"(?s:(?=(.)\1{{{cs.FLOOD_DETECT - 1}}})){cs.java_class(cs.UCD.symbols, cs.FLOOD_EXTRA)}\1{{{cs.FLOOD_DETECT - 1},}}"
 _PATTERNS = {"cp1252": cs.CP1252, "html_entity": cs.HTML_ENTITY}
 
 
@@ -36,15 +36,29 @@ def seq(text: Column) -> Column:
     return total(F.transform(lines(text), of_line))
 
 
+def shown(text: Column) -> Column:
+    """A text without what stands on its blank lines."""
+    return F.regexp_replace(held(text), BLANK_LINES, "")
+
+
+def beyond_ascii(text: Column) -> Column:
+    """All that rules on classes of characters look at: next to nothing of most texts."""
+    return without(text, r"[\x00-\x7F]+")
+
+
+def class_count(rule: str, rare: Column, rare_shown: Column, thresholds: dict[str, int] | None = None) -> Column:
+    """count() of a rule on a class, from beyond_ascii() of a text and of what it shows."""
+    cls = cs.java_class(classes()[rule])
+    return F.when(hits(rare, cls) >= (THRESHOLDS | (thresholds or {})).get(rule, 1), hits(rare_shown, cls)).otherwise(0).cast("long")
+
+
 def count(rule: str, text: Column, thresholds: dict[str, int] | None = None) -> Column:
     """Hit characters of a rule over a text's lines that are not blank, as a long."""
     least = (THRESHOLDS | (thresholds or {})).get(rule, 1)
-    shown = F.regexp_replace(held(text), BLANK_LINES, "")
     if rule == "seq":
         return seq(text)
-    if rule in (by_class := classes()):
-        cls = cs.java_class(by_class[rule])
-        return F.when(hits(text, cls) >= least, hits(shown, cls)).otherwise(0).cast("long")
+    if rule in classes():
+        return class_count(rule, beyond_ascii(text), beyond_ascii(shown(text)), thresholds)
     if rule == "math_symbol_flood":
         return hits(text, FLOOD).cast("long")
     if rule == "double_enc":
@@ -57,9 +71,4 @@ def count(rule: str, text: Column, thresholds: dict[str, int] | None = None) ->
     return F.when(n >= least, hits(text, pattern)).otherwise(0).cast("long")
 
 
-def counts(text: Column, rules: tuple[str, ...] = RULES) -> Column:
-    """A struct of all rules' counts."""
-    return F.struct(*[count(r, text).alias(r) for r in rules])
-
-
-__all__ = ["BLANK_LINES", "SPACE", "count", "counts", "seq"]
+__all__ = ["BLANK_LINES", "SPACE", "beyond_ascii", "class_count", "count", "seq", "shown"]

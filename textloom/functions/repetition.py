@@ -13,9 +13,13 @@ from .basics import DIGIT, SPACE, WORD, held, let, lines, matches, most_frequent
 
 _CJK = cs.java_class(cs.CJK_TOKENS)
 _PUNCTUATION = cs.java_class(cs.chars(cs.CJK_PUNCTUATION))
-NUMBER = rf"\A{DIGIT}{{1,6}}\z"
-#: The enumeration markers with Python's digits and white space.
-ENUM_LINE = rf"\A(?:{k.ENUM_LINE})\z".replace(r"[\d", "[" + DIGIT[1:-1]).replace(r"\d]", DIGIT[1:-1] + "]").replace(r"\d", DIGIT).replace(r"\s", SPACE)
+NUMBER = rf"(?={DIGIT})(?<!{WORD}){DIGIT}{{1,6}}(?!{WORD})"
+#: The enumeration markers, with Python's digits and white space.
+ENUM_LINE = r"\A(?:" + k.ENUM_LINE + r")\z"
+for _numerals in ("一二三四五六七八九十百千零两", "一二三四五六七八九十"):
+    for _mixed in (rf"[{_numerals}\d]", rf"[\d{_numerals}]"):
+        ENUM_LINE = ENUM_LINE.replace(_mixed, f"(?:[{_numerals}]|{DIGIT})")
+ENUM_LINE = ENUM_LINE.replace(r"\d", DIGIT).replace(r"\s", SPACE)
 
 
 def visible(text: Column) -> Column:
@@ -61,7 +65,7 @@ def numbers(text: Column) -> Column:
     """Words that are one to six digits, as longs."""
     digits = [chr(p) for p in sorted(cs.points(cs.UCD.digits))]
     ascii_digits = "".join(str(unicodedata.digit(d)) for d in digits)
-    return F.transform(F.filter(matches(text, f"{WORD}+"), lambda w: w.rlike(NUMBER)), lambda x: F.translate(x, "".join(digits), ascii_digits).cast("long"))
+    return F.transform(matches(text, NUMBER), lambda x: F.translate(x, "".join(digits), ascii_digits).cast("long"))
 
 
 def in_counters(found: Column) -> Column:

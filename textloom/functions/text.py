@@ -11,7 +11,7 @@ from ..kernels import textops as k
 from .basics import DIGIT, SPACE, WORD, held, hits, let, runs, stripped, without, words
 
 _CONTROLS = cs.java_class(k.CONTROLS)
-_PUNCTUATION = cs.java_class(cs.chars("".join(k.PUNCTUATION)))
+_PUNCTUATION = cs.java_rare(cs.chars("".join(k.PUNCTUATION)))
 _HAN, _HAN_KEPT = cs.java_class(cs.HAN), r"[^\x{4E00}-\x{9FA5}]"
 
 
@@ -141,7 +141,7 @@ def sentence_count(text: Column) -> Column:
 
 
 def remove_unprintable(text: Column) -> Column:
-    return without(text, cs.java_class(cs.minus(cs.UCD.unprintable, cs.chars(" "))))
+    return without(text, cs.java_rare(cs.minus(cs.UCD.unprintable, cs.chars(" "))))
 
 
 def strip_truncated_titles(text: Column) -> Column:

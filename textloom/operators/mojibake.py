@@ -20,7 +20,7 @@ HIT = "struct<offset:array<int>,detail:map<string,struct<hit_num:int,hit_ratio:d
 
 def may_hit(text: Column) -> Column:
     """False only for texts without any hit."""
-    by_class = cs.java_class(*classes().values(), cs.chars("".join(cs.GARBLED) + cs.GARBLED_PAIR), ((0xC0, 0xFF),))
+    by_class = cs.java_rare(*classes().values(), cs.chars("".join(cs.GARBLED) + cs.GARBLED_PAIR), ((0xC0, 0xFF),))
     return held(text).rlike(r"[^\x00-\x7F]") & held(text).rlike(by_class) | held(text).rlike(cs.HTML_ENTITY) | held(text).rlike(native.FLOOD)
 
 
@@ -39,7 +39,9 @@ def hits(text: Column, unassigned: bool = True, thresholds: dict[str, int] | Non
 def rule_counts(df: DataFrame, key: str, column: str = "text", rules: tuple[str, ...] = RULES) -> DataFrame:
     """key and one long column for each rule: the characters it hits, natively."""
     text = F.col(f"`{column}`")
-    return df.select(F.col(f"`{key}`"), *[native.count(r, text).alias(r) for r in rules])
+    rows = df.select(F.col(f"`{key}`").alias("_key"), text.alias("_text")).withColumn("_rare", native.beyond_ascii(F.col("_text"))).withColumn("_shown", native.beyond_ascii(native.shown(F.col("_text"))))
+    made = [(native.class_count(r, F.col("_rare"), F.col("_shown")) if r in classes() else native.count(r, F.col("_text"))).alias(r) for r in rules]
+    return rows.select(F.col("_key").alias(key), *made)
 
 
 def windows(df: DataFrame, key: str, column: str = "text") -> DataFrame:

@@ -1,0 +1 @@
+"""Readers and writers: lines of JSON, worksheets, articles, standard input."""

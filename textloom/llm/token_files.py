@@ -38,6 +38,8 @@ MAGIC = b"TLTOKENS"
 HEADER = "<8sIIqq"
 #: Words whose ids a worker keeps at most.
 MAX_WORDS = 1_000_000
+#: Words that tell whether a tokenizer's model may be asked directly.
+PROBES = ("a", "the", "qzx", "internationalization", "zzzzqqqqxxxx")
 NO_ID = -(2**63)
 
 
@@ -53,6 +55,9 @@ class Words(dict):
 
     def __init__(self, tokenizer, kind: np.dtype):
         self.tokenizer, self.kind, self.old = tokenizer, kind, {}
+        # a word of lower-case letters passes the normalizer and the splitter as it is: the model alone gives its ids
+        self.split = tokenizer.model.tokenize
+        self.direct = all([t.id for t in self.split(w)] == tokenizer.encode(w, add_special_tokens=False).ids for w in PROBES)
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
@@ -67,6 +72,8 @@ class Words(dict):
         return ids
 
     def made(self, word: bytes) -> bytes:
+        if self.direct and word.isalpha() and word.islower():
+            return np.array([t.id for t in self.split(word.decode())], self.kind).tobytes()
         # the tokenizer lower-cases, and splits between a letter and a stop: variants share one lookup
         if len(word) > 2 and word[-1:] in (b",", b".") and word[-2:-1].isalpha():
             return self[word[:-1]] + self[word[-1:]]
@@ -88,6 +95,9 @@ class Encoder:
         self.end = np.array([END_ID], self.kind).tobytes()
 
     def __call__(self, text: bytes) -> bytes:
+        # A-Z can be lowered first unless a combining mark (lead bytes CC and CD) or a special token follows
+        if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
+            text = text.lower()
         return b"".join(map(self.words.__getitem__, text.split())) + self.end
 
 

@@ -85,3 +85,22 @@ def test_rows(spark):
 def test_very_long_page():
     assert html_extract.main_text("<article>" + "<p>word</p>" * 50_000 + "</article>").count("\n") == 49_999
     assert html_extract.main_text("<div>" * 20_000 + "deep") == "deep"
+
+
+AD = '<div class="ad"><p>Buy</p><p>this</p><p>now</p></div>'
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f"<div><div><h1>Title</h1></div><div>{BODY}</div></div>", ["Title", *PROSE]),
+        (f"<body>{BODY}{AD}<p>Short.</p>{AD}{AD}{AD}<div><div><h2>Last</h2></div></div><div><div><p>End.</p></div></div>", [*PROSE, "Short.", "Last", "End."]),
+        (f"<div><h1>Title</h1></div>{AD}{AD}{AD}{BODY * 20}", ["Title", *PROSE * 20]),
+    ],
+)
+def test_unmarked_pages_keep_short_blocks(page, expected):
+    assert html_extract.main_text(page).split("\n") == expected
+
+
+def test_only_text_and_furniture_are_lines():
+    assert html_extract.page_lines(f"<div><div><h1>T</h1></div><div>{AD}<p>x</p></div></div>")[0] == ["T", "", "x"]

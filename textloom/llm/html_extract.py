@@ -2,12 +2,11 @@
 
 A page becomes lines: markup is stripped, block-level tags end a line, and comments,
 scripts, styles and the subtrees of page furniture (menus, headers, footers, sidebars,
-notices, adverts, forms, reader comments) are struck out, while their lines stay as empty
-ones. Text lengths are summed over sliding windows of WINDOW lines. Where the sum surges
-from nothing a text region begins, where it dives back to nothing it ends; the region that
-holds the most text is the core, and regions with enough text of their own beside it
-(an article that adverts interrupt) stay too. When the page marks its article, the
-regions are sought inside it. All lines between the points are kept, short ones included.
+notices, adverts, forms, reader comments) are struck out, each leaving an empty line; tags
+without text leave none. Text lengths are summed over sliding windows of WINDOW lines. Where
+the sum first surges from nothing the text begins, where it last dives back to nothing it
+ends. When the page marks its article, the points are sought inside it. All lines between the
+points are kept, headings and short ones included, however much text is around them.
 
 Defined results: null or empty html gives the empty text; a page without markup is all
 text; broken markup (tags that never close) ends at the end of its container or of the page.
@@ -26,8 +25,6 @@ from .common import arrow_map
 
 #: Lines in a block.
 WINDOW = 3
-#: A region beside the core stays if it has at least this share of the core's characters, where no mark shows the article.
-SIDE_SHARE = 0.1
 
 _BLOCK = frozenset(
     """address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset
@@ -75,12 +72,16 @@ def page_lines(page: str) -> tuple[list[str], list[bool]]:
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, furniture, mark
     skip = mark = 0
+    struck = False
 
     def end() -> None:
+        nonlocal struck
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
-        lines.append(text)
-        inside.append(mark > 0)
+        if text or struck:
+            lines.append(text)
+            inside.append(mark > 0)
+        struck = False
 
     def pop() -> str:
         nonlocal skip, mark
@@ -144,6 +145,7 @@ def page_lines(page: str) -> tuple[list[str], list[bool]]:
         marked = tag in _MARKS and not skip
         stack.append((tag, bad, marked))
         skip += bad
+        struck |= bad
         mark += marked
     end()
     return lines, inside
@@ -179,10 +181,7 @@ def main_text(page: str | None) -> str:
     found = regions(lengths)
     if not found:
         return ""
-    mass = [sum(lengths[a:b]) for a, b in found]
-    core = max(mass)
-    keep = [r for r, m in zip(found, mass, strict=True) if marked or m >= SIDE_SHARE * core]
-    return "\n".join(x for a, b in keep for x in lines[a:b] if x)
+    return "\n".join(x for x in lines[found[0][0] : found[-1][1]] if x)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

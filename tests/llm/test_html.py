@@ -104,3 +104,33 @@ def test_unmarked_pages_keep_short_blocks(page, expected):
 
 def test_only_text_and_furniture_are_lines():
     assert html_extract.page_lines(f"<div><div><h1>T</h1></div><div>{AD}<p>x</p></div></div>")[0] == ["T", "", "x"]
+
+
+COMMENTS = f'<section class="comments"><article><p>{PROSE[0]} I disagree with all of it.</p></article></section>'
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        *[(f'<body>{FURNITURE}<div class="{c}"><article>{BODY}{COMMENTS}</article>{AD}</div>{FOOT}', PROSE) for c in ("has-sidebar", "no-sidebar", "with-sidebar wide", "header", "sidebar", "page sidebar_left")],
+        *[(f'<body>{FURNITURE}<div id="content-sidebar-wrap"><{t}>{BODY}</{t}><div class="sidebar">Others</div></div>{FOOT}', PROSE) for t in ("article", "main", "div")],
+        *[(f'<body><form id="f" action="/">{FURNITURE}<{t}>{BODY}{COMMENTS}</{t}>{AD}</form><p>Skip</p>', want) for t, want in (("article", PROSE), ("main", PROSE), ("div", [*PROSE, "Skip"]))],
+        (f'<main><form>{BODY}</form></main>', PROSE),
+        (f'<form><article>{BODY}</article>{AD}<article><p>{PROSE[0]}</p></article></form>', [*PROSE, PROSE[0]]),
+        (f'<form><div>{BODY}{COMMENTS}</div><div class="sidebar"><article>A card</article></div></form>', PROSE),
+        (f'<div class="sidebar"><article>A card</article></div><form>{BODY}</form>', PROSE),
+        (f'<body><div class="search"><div class="menu"><div>{BODY}</div></div></div>', PROSE),
+        (f"<body>{BODY}{COMMENTS}", PROSE),
+        (f'<body>{BODY}<div class="sidebar"><article>A card</article><p>Other stories</p></div>', PROSE),
+        (f"<article>{BODY}</article>{COMMENTS * 5}", PROSE),
+        (f'<p>One <span class="share">Share it</span> two</p><div class="site-footer">Foot</div><div class="comment-list">Me</div>', ["One two"]),
+        ('<div id="app"></div><div class="cookie-notice">We use cookies, accept them.</div>', [""]),
+    ],
+)
+def test_wrappers_of_the_article(page, expected):
+    assert html_extract.main_text(page).split("\n") == expected
+
+
+def test_many_wrapped_articles():
+    page = f"<div>{BODY}</div>" + f'<div class="comment"><article><p>{PROSE[0]}</p></article></div>' * 3000
+    assert html_extract.main_text(page).split("\n") == PROSE

@@ -8,6 +8,12 @@ the sum first surges from nothing the text begins, where it last dives back to n
 ends. When the page marks its article, the points are sought inside it. All lines between the
 points are kept, headings and short ones included, however much text is around them.
 
+A form, or a wrapper that only its class, id or role makes furniture, may be the page's layout.
+It stays after all if it holds the <main>; if it holds an <article> with more text than the
+page has otherwise; or if the page's densest block of lines lies in it. Wrappers of other
+texts (comments, adverts, notices, related stories) stay only for a <main>, or for an
+<article> on a page without any other text.
+
 Defined results: null or empty html gives the empty text; a page without markup is all
 text; broken markup (tags that never close) ends at the end of its container or of the page.
 Repeated rows are extracted alike; an empty table gives an empty result.
@@ -33,17 +39,22 @@ _BLOCK = frozenset(
 )
 #: Elements whose text is never shown as prose.
 _RAW = frozenset("script style textarea title noframes xmp iframe noembed".split())
-_SKIP = frozenset("head nav footer aside form script style noscript template svg math canvas audio video object select button iframe textarea menu dialog title noframes xmp noembed search".split())
+_SKIP = frozenset("head nav footer aside script style noscript template svg math canvas audio video object select button iframe textarea menu dialog title noframes xmp noembed search".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in a class, id or role that mark furniture.
-_FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
-    r"header|masthead|footer|sidebar|side-bar|aside|widget|widgets|cookie|cookies|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"share|sharing|social|related|recommended|recommendations|comment|comments|disqus|respond|replies|reply|pagination|pager|toolbar|search|form|copyright|legal|disclaimer|"
-    r"contentinfo|complementary|alert|skip|toc|tags|outbrain|taboola)(?:$|[\s_-])",
-    re.I,
+#: Words in a class, id or role that mark furniture: wrappers of other texts than the page's own,
+_OTHERS = frozenset(
+    """ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion footer cookie cookies consent gdpr popup modal overlay
+    newsletter subscribe subscription signup login share sharing related recommended recommendations comment comments disqus respond replies reply
+    copyright contentinfo outbrain taboola""".split()
+)
+#: and parts of the page that its layout may be named after.
+_FURNITURE = _OTHERS | frozenset(
+    """banner nav navbar navigation menu breadcrumb breadcrumbs header masthead sidebar side-bar aside widget widgets notice notices social pagination pager
+    toolbar search form legal disclaimer complementary alert skip toc tags""".split()
 )
+#: Parts of a class that say where furniture is or what shape it has; other parts, such as has- or -wrap, make it another class.
+_PLAIN = re.compile(r"site|top|bottom|global|primary|secondary|list|area|box|bar|block|slot|unit|links?|items?|section|posts|articles|stories|\d+(?:x\d+)?")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -51,47 +62,84 @@ _SPACE = re.compile(r"\s+")
 _MARKS = frozenset(("article", "main"))
 
 
-def _is_furniture(tag: str, attrs: str) -> bool:
+def _words(value: str) -> frozenset[str]:
+    """The furniture words of a class, id or role, from tokens that say nothing else."""
+    out: set[str] = set()
+    for token in value.lower().split():
+        if token in _FURNITURE:
+            out.add(token)
+            continue
+        parts = [x for x in re.split(r"[_-]", token) if x]
+        named = [x for x in parts if x in _FURNITURE]
+        if named and all(x in _FURNITURE or _PLAIN.fullmatch(x) for x in parts):
+            out.update(named)
+    return frozenset(out)
+
+
+def _furniture(tag: str, attrs: str) -> tuple[bool, frozenset[str]]:
+    """Whether an element is never part of the text, and the words that make it furniture unless it proves to be layout."""
     if tag in _SKIP:
-        return True
+        return True, frozenset()
+    words = frozenset(("form",)) if tag == "form" else frozenset()
     if not attrs or tag in ("html", "body") or tag in _MARKS:
-        return False
+        return False, words
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id", "role") and _FURNITURE.search(value):
-            return True
-    return False
+            return True, words
+        if name in ("class", "id", "role"):
+            words |= _words(value)
+    return False, words
 
 
-def page_lines(page: str) -> tuple[list[str], list[bool]]:
-    """The page's lines, empty where furniture was struck out, and whether each is in its article."""
-    lines: list[str] = []
-    inside: list[bool] = []
-    parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, mark
-    skip = mark = 0
+class Wrapper:
+    """An element that its class, id or role, or its being a form, makes furniture."""
+
+    def __init__(self, words: frozenset[str]):
+        self.layout = not words & _OTHERS
+
+
+class Mark:
+    """An <article> or <main> that no other one is around, and the wrappers around it."""
+
+    def __init__(self, tag: str, wrappers: tuple[Wrapper, ...]):
+        self.main, self.wrappers = tag == "main", wrappers
+
+
+#: Pieces of a line with the wrappers around each, and the line's mark.
+Line = tuple[list[tuple[tuple[Wrapper, ...], str]], Mark | None]
+
+
+def _text(pieces: list[tuple[tuple[Wrapper, ...], str]], lifted: frozenset[Wrapper]) -> str:
+    return _SPACE.sub(" ", html.unescape("".join(x for wrappers, x in pieces if not wrappers or lifted.issuperset(wrappers)))).strip()
+
+
+def parsed(page: str) -> list[Line]:
+    """The page's lines, without pieces where furniture was struck out."""
+    lines: list[Line] = []
+    parts: list[tuple[tuple[Wrapper, ...], str]] = []
+    stack: list[tuple[str, bool, Wrapper | None, bool]] = []  # tag, furniture, wrapper, mark
+    wrappers: tuple[Wrapper, ...] = ()
+    mark: Mark | None = None
+    skip = 0
     struck = False
 
     def end() -> None:
-        nonlocal struck
-        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-        parts.clear()
-        if text or struck:
-            lines.append(text)
-            inside.append(mark > 0)
-        struck = False
-
-    def pop() -> str:
-        nonlocal skip, mark
-        tag, bad, marked = stack.pop()
+        nonlocal parts, struck
+        if struck or any(x and not x.isspace() for _, x in parts):
+            lines.append((parts, mark))
+        parts, struck = [], False
+
+    def pop() -> None:
+        nonlocal skip, mark, wrappers
+        _, bad, wrapper, marked = stack.pop()
         skip -= bad
-        mark -= marked
-        return tag
+        if wrapper:
+            wrappers = wrappers[:-1]
+        if marked:
+            mark = None
 
     def close(tag: str) -> None:
-        nonlocal skip, mark
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
                 while len(stack) > i:
@@ -105,12 +153,12 @@ def page_lines(page: str) -> tuple[list[str], list[bool]]:
         found = _TOKEN.search(page, at)
         text = page[at : found.start() if found else len(page)]
         if text and not skip:
-            parts.append(text)
+            parts.append((wrappers, text))
         if not found:
             break
         at = found.end()
         if found[1] is not None and not skip:
-            parts.append(html.escape(found[1], quote=False))
+            parts.append((wrappers, html.escape(found[1], quote=False)))
         tag = (found[3] or "").lower()
         if not tag:
             continue
@@ -140,15 +188,33 @@ def page_lines(page: str) -> tuple[list[str], list[bool]]:
         if tag == "body":
             while stack and stack[-1][0] != "html":
                 pop()
+        bad, words = _furniture(tag, attrs)
         # the heading of an article is its text; that of a page is furniture
-        bad = tag == "header" and not mark or _is_furniture(tag, attrs)
-        marked = tag in _MARKS and not skip
-        stack.append((tag, bad, marked))
+        bad = bad or tag == "header" and not mark
+        wrapper = Wrapper(words) if words and not bad and not skip else None
+        marked = tag in _MARKS and not skip and not mark
+        if wrapper:
+            wrappers = (*wrappers, wrapper)
+        if marked:
+            mark = Mark(tag, wrappers)
+        stack.append((tag, bad, wrapper, marked))
         skip += bad
         struck |= bad
-        mark += marked
     end()
-    return lines, inside
+    return lines
+
+
+def page_lines(page: str, lines: list[Line] | None = None, lifted: frozenset[Wrapper] = frozenset()) -> tuple[list[str], list[bool]]:
+    """The page's lines, empty where furniture was struck out, and whether each is in its article."""
+    lines = parsed(page) if lines is None else lines
+    texts, inside, struck = [], [], False
+    for pieces, mark in lines:
+        text = _text(pieces, lifted)
+        if text or not struck:  # what one wrapper hides is one empty line
+            texts.append(text)
+            inside.append(mark is not None and lifted.issuperset(mark.wrappers))
+        struck = not text and bool(pieces)
+    return texts, inside
 
 
 def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -169,19 +235,74 @@ def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
+def _chosen(texts: list[str], inside: list[bool]) -> list[str]:
+    """Lines outside the article, if it has text, are struck out like furniture."""
+    if any(x and y for x, y in zip(texts, inside, strict=True)):
+        return [x if y else "" for x, y in zip(texts, inside, strict=True)]
+    return texts
+
+
+def _peak(lengths: list[int], window: int = WINDOW) -> int:
+    """The most text in a block of lines."""
+    return max((sum(lengths[max(0, i - window + 1) : i + 1]) for i in range(len(lengths))), default=0)
+
+
+def layout(lines: list[Line]) -> frozenset[Wrapper]:
+    """The wrappers that hold the page's text."""
+    lifted: frozenset[Wrapper] = frozenset()
+    around = {wrappers for pieces, _ in lines for wrappers, _ in pieces if wrappers}
+    marks: dict[tuple[Wrapper, ...], list[int]] = {}  # lengths of the lines in the marks of each nest
+    mains = set()
+    for pieces, mark in lines:
+        if mark and mark.wrappers:
+            marks.setdefault(mark.wrappers, []).append(len(_text(pieces, frozenset(mark.wrappers))))
+            if mark.main:
+                mains.add(mark.wrappers)
+    if not marks and not any(w.layout for wrappers in around for w in wrappers):
+        return lifted
+
+    def peaks(apart: tuple[Wrapper, ...] = ()) -> dict[tuple[Wrapper, ...], int]:
+        """The densest block of what lies directly in each nest of wrappers that may be layout, apart from the marks of one."""
+        groups: dict[tuple[Wrapper, ...], list[int]] = {}
+        within = not apart and any(y and x for x, y in zip(*page_lines("", lines, lifted), strict=True))
+        for pieces, mark in lines:
+            if apart and mark and mark.wrappers == apart or within and not (mark and lifted.issuperset(mark.wrappers)):
+                continue
+            for wrappers in dict.fromkeys(w for w, _ in pieces):
+                if not lifted.issuperset(wrappers) and all(w.layout for w in wrappers):
+                    groups.setdefault(wrappers, []).append(len(_text([((), x) for w, x in pieces if w == wrappers], lifted)))
+        return {wrappers: _peak(x) for wrappers, x in groups.items() if any(x)}
+
+    def is_page(nest: tuple[Wrapper, ...]) -> bool:
+        rest = sum(map(len, _chosen(*page_lines("", lines, frozenset(nest[:-1])))))
+        others = max(peaks(nest).values(), default=0)
+        if not all(w.layout for w in nest):
+            return not rest + others
+        return sum(marks[nest]) > rest and _peak(marks[nest]) >= others
+
+    # by its marks: a <main>, or the articles with the most text
+    order = sorted((x for x in marks if any(marks[x])), key=lambda x: (x not in mains, -sum(marks[x])))
+    plain = [next((x for x in order if all(w.layout for w in x) == kind), ()) for kind in (True, False)]
+    nest = order[0] if order and order[0] in mains else next((x for x in plain if x and is_page(x)), ())
+    lifted = frozenset(nest)
+    # by its densest block
+    found = peaks()
+    best = max(found, key=found.__getitem__, default=())
+    if best and found[best] > _peak([len(x) for x in _chosen(*page_lines("", lines, lifted))]):
+        lifted |= frozenset(best)
+    return lifted
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: its blocks in order, one a line."""
     if not page:
         return ""
-    lines, inside = page_lines(page)
-    marked = any(x and y for x, y in zip(lines, inside, strict=True))
-    if marked:  # blocks outside the article are struck out like furniture
-        lines = [x if y else "" for x, y in zip(lines, inside, strict=True)]
-    lengths = [len(x) for x in lines]
-    found = regions(lengths)
+    lines = parsed(page)
+    texts = _chosen(*page_lines(page, lines, layout(lines)))
+    found = regions([len(x) for x in texts])
     if not found:
         return ""
-    return "\n".join(x for x in lines[found[0][0] : found[-1][1]] if x)
+    return "\n".join(x for x in texts[found[0][0] : found[-1][1]] if x)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -146,6 +146,14 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judged(df, table.where("false")).collect()} == {"allow"}
 
 
+def test_url_filter_long_rules(spark):
+    long = "/" + "a" * url_filter.MAX_PATH
+    rules = [("block", "com", long + "/x"), ("allow", "com", long + "/xy"), ("block", "b.com", long[:-1]), ("allow", "net", long)]
+    data = list(enumerate(f"http://{h}{p}" for h in ("com", "b.com", "net") for p in (long, long[:-1], long[:-2], long + "/x", long + "/xyz", long + "/y", long[:-1] + "b")))
+    found = url_filter.judged(spark.createDataFrame(data, "page_id long, url string"), url_filter.rule_table(spark, rules))
+    same(found, brute.op5(data, rules), "page_id", "host", "path", "rule", "verdict")
+
+
 def test_url_filter_stays_native(spark):
     plan = url_filter.judged(spark.read.parquet(f"{SF}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

@@ -3,7 +3,8 @@
 Each URL is expanded into the expressions that a rule could be written as: every suffix of
 its host at a dot, with every prefix of its path that is as long as some rule's path.
 Expressions meet rules in an equi-join on the first four bytes of a SHA-256 digest; the full
-digest then confirms the match, and the longest rule wins. All native: no user functions.
+digest then confirms the match, and the longest rule wins. A rule whose path is longer than
+MAX_PATH meets URLs by its first MAX_PATH characters and is then compared whole. All native: no user functions.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and
 fits no rule; a URL that no rule fits gets the default verdict, ``allow``. Rows of equal
@@ -29,7 +30,7 @@ RULES = (
 DEFAULT = "allow"
 #: Hex digits of the digest that the join runs on: four bytes.
 SHORT = 8
-#: A rule's path is at most this long, so a URL has a bounded number of expressions.
+#: An expression's path is at most this long, so a URL has a bounded number of them; the rest of a longer rule's path is compared with the URL's.
 MAX_PATH = 2048
 #: Rules are broadcast up to this many; a larger table is joined by a shuffle.
 BROADCAST_RULES = 100_000
@@ -55,11 +56,12 @@ def judged(pages: DataFrame, rules: DataFrame | None = None, key: str = "page_id
     """
     rules = rule_table(pages.sparkSession) if rules is None else rules
     digest = lambda host, path: F.sha2(F.concat_ws("\x00", host, path), 256)
-    rules = rules.select("verdict", F.lower("host").alias("r_host"), F.substring("path", 1, MAX_PATH).alias("r_path")).where("r_host is not null and r_path is not null")
+    rules = rules.select("verdict", F.lower("host").alias("r_host"), F.col("path").alias("r_path")).where("r_host is not null and r_path is not null")
     rules = rules.groupBy("r_host", "r_path").agg(F.max("verdict").alias("r_verdict"))  # block > allow
-    rules = rules.withColumn("digest", digest(F.col("r_host"), F.col("r_path"))).withColumn("short", F.substring("digest", 1, SHORT))
+    start = F.substring("r_path", 1, MAX_PATH)
+    rules = rules.withColumn("digest", digest(F.col("r_host"), start)).withColumn("short", F.substring("digest", 1, SHORT))
     # bounded: a path has at most MAX_PATH lengths
-    shape = rules.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths")).first()
+    shape = rules.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length(start))).alias("lengths")).first()
     lengths = F.array(*[F.lit(n) for n in shape["lengths"]]).cast("array<int>")
     host, path = host_and_path(F.col(url))
     df = pages.select(F.col(key), host.alias("host"), path.alias("path"))
@@ -71,7 +73,7 @@ def judged(pages: DataFrame, rules: DataFrame | None = None, key: str = "page_id
     made = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: digest(h, p))))
     digests = urls.select("host", "path", F.explode(made).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
     few = F.broadcast(rules) if shape["n"] <= BROADCAST_RULES else rules
-    hits = digests.alias("u").join(few.alias("r"), "short").where("u.digest = r.digest")
+    hits = digests.alias("u").join(few.alias("r"), "short").where("u.digest = r.digest and startswith(u.path, r.r_path)")
     weight = F.struct((F.length("r_host") + F.length("r_path")).alias("both"), F.length("r_host").alias("on_host"), F.col("r_verdict"), F.concat("r_host", "r_path").alias("rule"))
     best = hits.groupBy("u.host", "u.path").agg(F.max(weight).alias("best"))
     df = df.join(best, ["host", "path"], "left")

@@ -171,6 +171,26 @@ def test_token_files(spark, real, odd):
     assert token_files.round_trip(real[0].where("false"), path).count() == 0
 
 
+def test_token_files_of_other_tokenizers(spark, odd, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    words = public_tokenizers.path("word_bpe_49k.json")
+    with open(words, encoding="utf-8") as file:
+        settings = json.load(file)
+    assert token_files.by_words(settings)
+    settings["added_tokens"].append({**settings["added_tokens"][0], "id": 49408, "content": "The Cat"})
+    (tmp_path / "added.json").write_text(json.dumps(settings), encoding="utf-8")
+    settings["added_tokens"].pop()
+    settings["normalizer"] = None
+    (tmp_path / "cased.json").write_text(json.dumps(settings), encoding="utf-8")
+    data = [*odd[1], (9001, "The Cat sat"), (9002, " The Cat  SAT\n\n on.")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for path in (public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "added.json"), str(tmp_path / "cased.json")):
+        same(token_files.round_trip(df, path), brute.op6(data, Tokenizer.from_file(path)), "doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def test_token_file_pairs(spark, odd):
     from textloom.llm.common import scratch_path
 

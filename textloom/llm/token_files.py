@@ -9,8 +9,9 @@ gives each its base, so all offsets are global without a pass over the data.
 
 A task writes to names of its own attempt and returns them; only names that a
 successful task returned are ever read, so lost executors and second attempts leave no
-trace in the result. Words that white space separates never share a token with these
-tokenizers, so a word's ids are looked up once and kept, up to a bounded number of words.
+trace in the result. Where a tokenizer's own settings say that it folds case and that no
+token spans white space (by_words), a word's ids are looked up once and kept, up to a bounded
+number of words; any other tokenizer encodes whole texts.
 
 Defined results: a null or empty text is the end id alone; rows that repeat a doc_id follow each
 other, ordered by text; a null doc_id comes first. An empty table writes no files. Extra columns
@@ -19,6 +20,7 @@ are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -41,6 +43,36 @@ MAX_WORDS = 1_000_000
 #: Words that tell whether a tokenizer's model may be asked directly.
 PROBES = ("a", "the", "qzx", "internationalization", "zzzzqqqqxxxx")
 NO_ID = -(2**63)
+#: The normalizer and the splitter under which texts may be lower-cased and encoded a word at a time.
+FOLDING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTING = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(settings: dict) -> bool:
+    """Whether a tokenizer gives a text the ids of its lower-cased words, by its normalizer, splitter, model and added tokens.
+
+    Added tokens are found in the text as it came, so they must be words like ``<|this|>``, which Encoder leaves alone.
+    """
+
+    def plain(token: dict) -> bool:
+        name = token["content"]
+        return name.startswith("<|") and name.endswith("|>") and not any(c.isspace() for c in name) and not any(token.get(x) for x in ("single_word", "lstrip", "rstrip", "normalized"))
+
+    return (
+        settings.get("normalizer") == FOLDING
+        and settings.get("pre_tokenizer") == SPLITTING
+        and not settings.get("truncation")
+        and not settings.get("padding")
+        and settings["model"].get("type") == "BPE"
+        and not settings["model"].get("dropout")
+        and all(map(plain, settings.get("added_tokens") or ()))
+    )
 
 
 def filesystem(folder: str):
@@ -83,7 +115,7 @@ class Words(dict):
 
 
 class Encoder:
-    """Token ids of whole texts as packed integers, a word at a time."""
+    """Token ids of whole texts as packed integers, a word at a time where the tokenizer allows it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -91,10 +123,14 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         self.width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.words = Words(tokenizer, self.kind)
+        self.tokenizer = tokenizer
+        with open(path, encoding="utf-8") as file:
+            self.words = Words(tokenizer, self.kind) if by_words(json.load(file)) else None
         self.end = np.array([END_ID], self.kind).tobytes()
 
     def __call__(self, text: bytes) -> bytes:
+        if self.words is None:
+            return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes() + self.end
         # A-Z can be lowered first unless a combining mark (lead bytes CC and CD) or a special token follows
         if b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text:
             text = text.lower()

@@ -40,7 +40,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_duplicates), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 
-#: The mix is an optimum found by search and the ring a walk: SQL can't express run(); the tests hold it against plain Python.
+#: The mix is found by search, near its targets, and the ring is a walk: SQL can't express run(); the tests hold it against plain Python.
 ORACLE_SQL = None
 
 

@@ -6,6 +6,7 @@ Words are maximal runs of anything but the six ASCII white-space characters
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
@@ -32,37 +33,47 @@ def shared_dir(spark: SparkSession) -> str:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[.*\])?", context.master):  # local-cluster has executors of its own
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
             found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    """A JVM path and its file system."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder, which is deleted when the application ends."""
+    root = f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
+    path, system = _hadoop_path(spark, root)
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends here.
 
-    The schema is passed on, so an empty table reads back too.
+    The schema is passed on, so an empty table reads back too. discard() deletes the table early.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete tables of written() that nothing reads any more."""
+    """Delete tables of written() that nothing reads any more; other tables are left alone."""
     for df in frames:
-        spark = df.sparkSession
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/textloom/" in folder:
-                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+        if path := df.__dict__.get("_scratch"):
+            found, system = _hadoop_path(df.sparkSession, path)
+            system.delete(found, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -4,7 +4,7 @@ Documents are range-partitioned and sorted by doc_id. Each partition is tokenize
 pair of files in the shared folder: ``<part>.bin`` holds the ids of its documents end to end, as
 little-endian unsigned integers of the least width that holds the vocabulary, and ``<part>.idx``
 holds, after a header, its documents' ids and one offset more than it has documents, as 64-bit
-integers counting token ids from the partition's start. A prefix sum over the partitions' totals
+integers counting token ids from the partition's start. Null ids stand first; the header counts them. A prefix sum over the partitions' totals
 gives each its base, so all offsets are global without a pass over the data.
 
 A task writes to names of its own attempt and returns them; only names that a
@@ -36,13 +36,13 @@ from .common import partitions, scratch_path, worker_memo, written
 
 END_ID = 1
 MAGIC = b"TLTOKENS"
-#: magic, version, bytes of an id, documents, ids
-HEADER = "<8sIIqq"
+VERSION = 2
+#: magic, version, bytes of an id, documents, of those without doc_id, ids
+HEADER = "<8sIIqqq"
 #: Words whose ids a worker keeps at most.
 MAX_WORDS = 1_000_000
 #: Words that tell whether a tokenizer's model may be asked directly.
 PROBES = ("a", "the", "qzx", "internationalization", "zzzzqqqqxxxx")
-NO_ID = -(2**63)
 #: The normalizer and the splitter under which texts may be lower-cased and encoded a word at a time.
 FOLDING = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLITTING = {
@@ -143,7 +143,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = name = stream = None
         ids: list[int] = []
-        ends = [0]
+        ends, n_null = [0], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -156,13 +156,14 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 packed = encode(text.as_py() or b"")
                 stream.write(packed)
-                ids.append(NO_ID if doc is None else doc)
+                n_null += doc is None  # these sort first
+                ids.append(doc or 0)
                 ends.append(ends[-1] + len(packed) // encode.width)
         if encode is None:
             return
         stream.close()
         with store.open_output_stream(f"{root}/{name}.idx") as index:
-            index.write(struct.pack(HEADER, MAGIC, 1, encode.width, len(ids), ends[-1]))
+            index.write(struct.pack(HEADER, MAGIC, VERSION, encode.width, len(ids), n_null, ends[-1]))
             index.write(np.array(ids, "<i8").tobytes())
             index.write(np.array(ends, "<i8").tobytes())
         yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([ends[-1]], pa.int64())], ["part", "name", "n_docs", "n_tokens"])
@@ -186,8 +187,8 @@ class Reader:
 
         store, root = filesystem(folder)
         with store.open_input_stream(f"{root}/{name}.idx") as index:
-            magic, version, self.width, n_docs, self.n_tokens = struct.unpack(HEADER, index.read(struct.calcsize(HEADER)))
-            if magic != MAGIC or version != 1:
+            magic, version, self.width, n_docs, self.n_null, self.n_tokens = struct.unpack(HEADER, index.read(struct.calcsize(HEADER)))
+            if magic != MAGIC or version != VERSION:
                 raise ValueError(f"{name} is no token file")
             self.doc_ids = np.frombuffer(index.read(8 * n_docs), "<i8")
             self.offsets = np.frombuffer(index.read(8 * (n_docs + 1)), "<i8")
@@ -218,7 +219,7 @@ def read(files: DataFrame, folder: str) -> DataFrame:
             for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 found = Reader(folder, name)
                 crcs = np.fromiter((zlib.crc32(found[i].astype("<u4").tobytes()) for i in range(len(found))), np.int64, len(found))
-                ids = pa.array(found.doc_ids, mask=found.doc_ids == NO_ID)
+                ids = pa.array(found.doc_ids, mask=np.arange(len(found)) < found.n_null)
                 whole = pa.record_batch([ids, pa.array(found.offsets[:-1] + base), pa.array(np.diff(found.offsets)), pa.array(crcs)], ["doc_id", "start", "n_tokens", "ids_crc32"])
                 for i in range(0, whole.num_rows, 10_000):
                     yield whole.slice(i, 10_000)

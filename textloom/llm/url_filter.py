@@ -36,13 +36,18 @@ MAX_PATH = 2048
 BROADCAST_RULES = 100_000
 
 
+def lowered(host: Column) -> Column:
+    """A host with A-Z lower-cased and every other character as it is."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased. Path: from there up to ``? #`` or the end."""
     at = F.coalesce(F.instr(url, "://"), F.lit(0))
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    return lowered(host), path
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -56,7 +61,7 @@ def judged(pages: DataFrame, rules: DataFrame | None = None, key: str = "page_id
     """
     rules = rule_table(pages.sparkSession) if rules is None else rules
     digest = lambda host, path: F.sha2(F.concat_ws("\x00", host, path), 256)
-    rules = rules.select("verdict", F.lower("host").alias("r_host"), F.col("path").alias("r_path")).where("r_host is not null and r_path is not null")
+    rules = rules.select("verdict", lowered(F.col("host")).alias("r_host"), F.col("path").alias("r_path")).where("r_host is not null and r_path is not null")
     rules = rules.groupBy("r_host", "r_path").agg(F.max("verdict").alias("r_verdict"))  # block > allow
     start = F.substring("r_path", 1, MAX_PATH)
     rules = rules.withColumn("digest", digest(F.col("r_host"), start)).withColumn("short", F.substring("digest", 1, SHORT))

@@ -1,25 +1,30 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
-The suffixes of a collection's documents, cut at WINDOW words, form a suffix tree; its internal
-nodes of that depth are the passages of WINDOW words that repeat. The tree is never built whole:
-
-1. Texts are packed into chunks of bounded size, written once.
-2. Each chunk lists its seeds: in every window, the SEED consecutive words of least hash. Equal
-   windows have equal seeds, so a suffix whose seed occurs in one chunk only can't reach a
-   deep node of another chunk's suffixes. Seeds are counted over all chunks.
+The suffixes of a collection's documents form a suffix tree; its internal nodes of WINDOW words or more
+are the passages that repeat, and those that nothing longer contains on their left the maximal repeats.
+The tree is never built whole:
+
+1. Texts are packed into chunks of bounded size, written once. Each lists its seeds: in every window, the
+   SEED consecutive words of least hash. Equal windows have equal seeds, so a suffix whose seed occurs in one
+   chunk only can't reach a deep node of another chunk's suffixes. It also lists which of its windows repeat within it.
+2. Seeds are counted over all chunks.
 3. Surviving suffixes are partitioned by prefix, in rotated order (from the seed to the right, then to the left),
-   so that a group's suffixes share their first SEED words. Prefixes that occur in many chunks are
-   too large for one group and are extended to the whole window: prefix lengths vary with the counts.
-   Groups of prefixes are sized for memory. A chunk sends each distinct suffix once, with its smallest
-   document, so a passage in a third of all documents arrives once a chunk.
-4. Each group sorts its suffixes by their words, finds the longest common prefixes of neighbours, and so the subtree's
-   deep nodes; it tells chunks whose own smallest document isn't the node's.
-5. Each chunk marks the words that its repeated windows cover.
+   so that a group's suffixes share their first SEED words. Prefixes of many chunks, or of many
+   windows of one chunk, are too large for one group and are extended to the whole window: prefix lengths vary with
+   the counts. Groups of prefixes are sized for memory. A chunk sends each distinct suffix once, with its smallest
+   document, as far as its neighbours go to the same group, so a passage in a third of all documents arrives once a chunk.
+4. Each group builds its subtree from the top: suffixes are named by their first WINDOW words, by doubling, and nodes
+   are split by the next word as long as a smaller document goes along. The deepest node that a smaller document shares
+   gives the repeat that starts at a suffix; those that the suffix before doesn't contain are the maximal ones and are told to
+   the chunk. Extended prefixes of more than FAN chunks meet in buckets, of which only the smallest document's
+   suffix goes on to meet those of other buckets, so a group's size doesn't grow with the number of chunks.
+5. Each chunk marks the words that its repeats cover.
 
 Words are compared by 64-bit hashes within a chunk and as bytes between chunks.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose nothing; rows
-with a null doc_id lose nothing and count for nothing; rows that repeat a doc_id are one document; an
+with a null doc_id lose nothing and count for nothing; rows that repeat a doc_id, with equal or other texts, are
+each given their own row, and nothing in them is a copy of a smaller document by another of them; an
 empty table gives an empty result. Extra columns are not read.
 """
 
@@ -28,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,141 +51,167 @@ SEED = 7
 CHUNK_BYTES = 4 << 20
 #: Words of the corpus for each group of prefixes.
 GROUP_WORDS = 4_000_000
-#: Prefixes in more chunks than this are extended.
+#: Prefixes in more chunks than this, or of more windows of a chunk, are extended.
 LONG_CHUNKS = 64
-_NO_ID = -(2**63)
-
-
-# 1. chunks
+LONG_WINDOWS = 4096
+#: Windows of neighbouring suffixes that travel as one run: a subtree is at most this deep, plus a window.
+MAX_RUN = 64
+#: Chunks of one extended prefix that meet in a bucket, and buckets of one that do so next.
+FAN = 4096
 
 
-def _packed(ids: list[int], texts: list[bytes | None]) -> bytes:
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
-    held = [texts[i] for i in order]
-    head = np.array([ids[i] for i in order], "<i8").tobytes() + np.array([-1 if t is None else len(t) for t in held], "<i8").tobytes()
-    return struct.pack("<q", len(ids)) + zstandard.ZstdCompressor(level=1).compress(head + b"".join(t or b"" for t in held))
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
-    """Document ids, ascending, and texts of a chunk."""
-    (n,) = struct.unpack_from("<q", blob)
-    data = zstandard.ZstdDecompressor().decompress(memoryview(blob)[8:])
-    ids, sizes = np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i8", n, 8 * n)
-    texts, at = [], 16 * n
-    for size in sizes.tolist():
-        texts.append(data[at : at + max(size, 0)])
-        at += max(size, 0)
-    return ids, texts
+def _restored(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """chunk, n_words and blob: all rows of docs, packed where they lie."""
+# 1. chunks
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n = TaskContext.get().partitionId() << 24, 0
-        ids, texts, size = [], [], 0
 
-        def row() -> pa.RecordBatch:
-            words = sum(len(t) for t in texts if t) // 5
-            return pa.record_batch([pa.array([part + n]), pa.array([words]), pa.array([_packed(ids, texts)], pa.binary())], ["chunk", "n_words", "blob"])
+class Chunk:
+    """The words of a chunk end to end: documents by id, those without one first."""
+
+    def __init__(self, ids: list[int | None], texts: list[bytes | None]):
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
+        self.n_null = sum(i is None for i in ids)
+        self.ids = np.array([ids[i] or 0 for i in order], np.int64)
+        self.texts = [texts[i] or b"" for i in order]
+        self.words = [t.split() for t in self.texts]
+        counts = np.array([len(w) for w in self.words], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(counts)])
+        self.doc = np.repeat(np.arange(len(counts)), counts)
 
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                ids.append(_NO_ID if doc is None else doc)
-                texts.append(text)
-                size += len(text or b"") + 16
-                if size >= CHUNK_BYTES:
-                    yield row()
-                    n, ids, texts, size = n + 1, [], [], 0
-        if ids:
-            yield row()
+    def packed(self) -> bytes:
+        sizes = np.array([len(t) for t in self.texts], "<i8")
+        return struct.pack("<qq", len(self.ids), self.n_null) + _squeezed(self.ids.astype("<i8").tobytes() + sizes.tobytes() + b"".join(self.texts))
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Chunk:
+        n, n_null = struct.unpack_from("<qq", blob)
+        data = _restored(memoryview(blob)[16:])
+        ids, sizes = np.frombuffer(data, "<i8", n).tolist(), np.frombuffer(data, "<i8", n, 8 * n).tolist()
+        texts, at = [], 16 * n
+        for size in sizes:
+            texts.append(data[at : at + size])
+            at += size
+        return cls([None] * n_null + ids[n_null:], texts)
+
+    def windows(self, window: int) -> np.ndarray:
+        """Places of all windows: each lies in one document that has an id."""
+        n = max(0, int(self.starts[-1]) - window + 1)
+        return np.flatnonzero((self.doc[:n] == self.doc[window - 1 :][:n]) & (self.doc[:n] >= self.n_null))
+
+    def hashes(self) -> np.ndarray:
+        known = WordHashes().__getitem__
+        return np.fromiter(map(known, chain.from_iterable(self.words)), np.uint64, int(self.starts[-1]))
 
-    return docs.select("doc_id", "text").mapInArrow(each, "chunk long, n_words long, blob binary")
 
+def _window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    n = max(0, len(h) - width + 1)
+    out = np.full(n, width, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            out *= np.uint64(0x9E3779B97F4A7C15)
+            out += h[k : k + n]
+    return _mixed(out)
 
-class Chunk:
-    """The words of a chunk end to end, its windows, and their seeds."""
 
-    def __init__(self, blob: bytes, window: int, seed: int):
-        self.ids, texts = unpacked(blob)
-        self.words = [t.split() for t in texts]
-        counts = np.array([len(w) for w in self.words], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(counts)])
-        known = WordHashes().__getitem__
-        total = int(self.starts[-1])
-        h = np.fromiter((known(w) for ws in self.words for w in ws), np.uint64, total)
-        self.window, n = window, max(0, total - window + 1)
-        self.doc = np.repeat(np.arange(len(counts)), counts)
-        # windows lie in one document; those of null ids don't count
-        valid = np.zeros(n, bool)
-        if n:
-            valid = (self.doc[:n] == self.doc[window - 1 :]) & (self.ids[self.doc[:n]] != _NO_ID)
-        self.at = np.flatnonzero(valid)
-        self.full = self.hashes(h, window, n)[self.at]
-        grams = self.hashes(h, seed, max(0, total - seed + 1))
-        least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-        for k in range(window - seed + 1):
-            np.minimum(least, grams[k : k + n], out=least)
-        self.seed = least[self.at]
-
-    @staticmethod
-    def hashes(h: np.ndarray, width: int, n: int) -> np.ndarray:
-        out = np.full(n, width, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(width):
-                out = out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-            return _mixed(out)
-
-    def firsts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each window, its number among the distinct ones; of those, the first place (of the smallest document)."""
-        _, first, inverse = np.unique(self.full, return_index=True, return_inverse=True)
-        return inverse, first
+def _seeds(h: np.ndarray, window: int, seed: int) -> np.ndarray:
+    """Of each window, the least hash of its runs of so many words."""
+    grams, n = _window_hashes(h, seed), max(0, len(h) - window + 1)
+    least = grams[:n].copy()
+    for k in range(1, window - seed + 1):
+        np.minimum(least, grams[k : k + n], out=least)
+    return least
 
 
-# 2. seeds
+def _repeated(full: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of windows that occur before in the chunk, and the places where they first do: that of the smallest document."""
+    _, first, which = np.unique(full, return_index=True, return_inverse=True)
+    again = np.flatnonzero(first[which] != np.arange(len(full)))
+    return np.stack([at[again], at[first[which[again]]]])
 
 
 def _deltas(sorted_values: np.ndarray) -> bytes:
     """Sorted integers as compressed byte planes of their differences."""
     d = np.diff(sorted_values, prepend=np.uint64(0)).astype("<u8")
     planes = d.view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<q", len(d)) + planes.tobytes())
+    return _squeezed(struct.pack("<q", len(d)) + planes.tobytes())
 
 
 def _values(blob: bytes) -> np.ndarray:
-    data = zstandard.ZstdDecompressor().decompress(blob)
+    data = _restored(blob)
     (n,) = struct.unpack_from("<q", data)
     planes = np.frombuffer(data, np.uint8, 8 * n, 8).reshape(8, n)
     with np.errstate(over="ignore"):
         return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def chunked(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """chunk, n_words, blob (all rows of docs, packed where they lie), seeds, heavy (those of many windows) and again (repeats within)."""
+    limit, many = CHUNK_BYTES, LONG_WINDOWS
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId() << 24, 0
+        ids, texts, size = [], [], 0
+
+        def row() -> pa.RecordBatch:
+            chunk = Chunk(ids, texts)
+            h, at = chunk.hashes(), chunk.windows(window)
+            again = _repeated(_window_hashes(h, window)[at], at)
+            seeds, count = np.unique(_seeds(h, window, seed)[at], return_counts=True)
+            blobs = [chunk.packed(), _deltas(seeds), seeds[count > many].astype("<u8").tobytes(), _squeezed(again.astype("<i8").tobytes())]
+            return pa.record_batch([pa.array([part + n]), pa.array([len(h)]), *(pa.array([x], pa.binary()) for x in blobs)], ["chunk", "n_words", "blob", "seeds", "heavy", "again"])
+
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                ids.append(doc)
+                texts.append(text)
+                size += len(text or b"") + 16
+                if size >= limit:
+                    yield row()
+                    n, ids, texts, size = n + 1, [], [], 0
+        if ids:
+            yield row()
+
+    return docs.select("doc_id", "text").mapInArrow(each, "chunk long, n_words long, blob binary, seeds binary, heavy binary, again binary")
+
+
+# 2. seeds
+
+
 def _group(values: np.ndarray, n: int) -> np.ndarray:
     """The group of a hash: its high bits, scaled."""
     return ((values >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _seed_blocks(n_groups: int, window: int, seed: int):
+def _seed_blocks(n_groups: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                seeds = np.unique(Chunk(blob.as_py(), window, seed).seed)
-                of = _group(seeds, n_groups)
-                edges = np.searchsorted(of, np.arange(n_groups + 1))
-                some = np.flatnonzero(edges[1:] > edges[:-1])
-                blocks = [_deltas(seeds[edges[g] : edges[g + 1]]) for g in some.tolist()]
-                yield pa.record_batch([pa.array(some), pa.array([name] * len(some), pa.int64()), pa.array(blocks, pa.binary())], ["grp", "chunk", "seeds"])
+            for name, blob, heavy in zip(batch.column("chunk").to_pylist(), batch.column("seeds"), batch.column("heavy"), strict=True):
+                seeds, heavy = _values(blob.as_py()), np.frombuffer(heavy.as_py(), "<u8")
+                names, blobs, large = [], [], []
+                edges, of = np.searchsorted(_group(seeds, n_groups), np.arange(n_groups + 1)), _group(heavy, n_groups)
+                for g in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                    names.append(g)
+                    blobs.append(_deltas(seeds[edges[g] : edges[g + 1]]))
+                    large.append(heavy[of == g].tobytes())
+                yield pa.record_batch([pa.array(names, pa.int64()), pa.array([name] * len(names), pa.int64()), pa.array(blobs, pa.binary()), pa.array(large, pa.binary())], ["grp", "chunk", "seeds", "heavy"])
 
     return each
 
 
 def _shared_seeds(long_chunks: int):
-    """Of a group's seed lists: to each chunk, its seeds that other chunks have too; the lowest bit says: extend."""
+    """Of a group's seed lists: to each chunk, its seeds that other chunks have too, and whether to extend them."""
 
     def each(rows: pa.Table) -> pa.Table:
         lists = [_values(x.as_py()) for x in rows.column("seeds")]
         values, count = np.unique(np.concatenate(lists), return_counts=True)
-        many = count > long_chunks
+        heavy = np.frombuffer(b"".join(rows.column("heavy").to_pylist()), "<u8")
+        many = (count > long_chunks) | np.isin(values, heavy)
         values, many = values[count > 1], many[count > 1]
         chunks, blobs = [], []
         for name, mine in zip(rows.column("chunk").to_pylist(), lists, strict=True):
@@ -209,42 +241,68 @@ def _shared(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 # 3. suffixes by prefix
 
 
-def _suffix_blocks(n_groups: int, window: int, seed: int):
+class Runs:
+    """Suffixes as runs of words: place, number of suffixes and document of each run, and the words of all."""
+
+    def __init__(self, place: np.ndarray, count: np.ndarray, doc: np.ndarray, text: bytes):
+        self.place, self.count, self.doc, self.text = place, count, doc, text
+
+    def packed(self) -> bytes:
+        return _squeezed(struct.pack("<q", len(self.place)) + b"".join(x.astype("<i8").tobytes() for x in (self.place, self.count, self.doc)) + self.text)
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Runs:
+        data = _restored(blob)
+        (n,) = struct.unpack_from("<q", data)
+        return cls(*np.frombuffer(data, "<i8", 3 * n, 8).reshape(3, n), data[8 + 24 * n :])
+
+
+def _suffix_blocks(n_groups: int, n_buckets: int, window: int, seed: int):
+    most = MAX_RUN
+
+    def of_chunk(name: int, blob: bytes, again: bytes, replies: list[bytes]) -> pa.RecordBatch | None:
+        seeds, extend = _shared(replies)
+        chunk = Chunk.unpacked(blob)
+        h, at = chunk.hashes(), chunk.windows(window)
+        alone = np.ones(len(h), bool)
+        alone[np.frombuffer(_restored(again), "<i8").reshape(2, -1)[0]] = False
+        at = at[alone[at]]  # distinct windows, each once
+        mine = _seeds(h, window, seed)[at]
+        hit = np.searchsorted(seeds, mine)
+        hit[hit == len(seeds)] = 0
+        some = seeds[hit] == mine
+        place, prefix, long = at[some], mine[some], extend[hit[some]]
+        if not len(place):
+            return None
+        if long.any():
+            prefix[long] = _window_hashes(h, window)[place[long]]
+        of = _group(_mixed(prefix), n_groups)
+        bucket = np.where(long, _mixed(np.array([name], np.uint64))[0] % np.uint64(n_buckets), -1).astype(np.int64)
+        words = list(chain.from_iterable(chunk.words))
+        # neighbouring suffixes of one group become one run of words
+        order = np.lexsort((place, bucket, of))
+        of, bucket, place = of[order], bucket[order], place[order]
+        other = np.concatenate([[True], (of[1:] != of[:-1]) | (bucket[1:] != bucket[:-1])])
+        new = other | np.concatenate([[True], place[1:] != place[:-1] + 1])
+        since = np.arange(len(place)) - np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))
+        starts = np.flatnonzero(new | (since % most == 0))
+        lengths = np.diff(np.append(starts, len(place)))
+        names, buckets, blobs = [], [], []
+        edges = np.append(np.flatnonzero(other[starts]), len(starts))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            p, n = place[starts[a:b]], lengths[a:b]
+            text = b" ".join([b" ".join(words[i : i + k + window - 1]) for i, k in zip(p.tolist(), n.tolist(), strict=True)])
+            names.append(int(of[starts[a]]))
+            buckets.append(int(bucket[starts[a]]))
+            blobs.append(Runs(p, n, chunk.ids[chunk.doc[p]], text).packed())
+        return pa.record_batch([pa.array(names, pa.int64()), pa.array(buckets, pa.int64()), pa.array([name] * len(names), pa.int64()), pa.array(blobs, pa.binary())], ["grp", "bucket", "chunk", "suffixes"])
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, blob, replies in zip(batch.column("chunk").to_pylist(), batch.column("blob"), batch.column("shared").to_pylist(), strict=True):
-                chunk = Chunk(blob.as_py(), window, seed)
-                seeds, extend = _shared(replies or [])
-                if not len(seeds) or not len(chunk.at):
-                    continue
-                _, first = chunk.firsts()
-                at = np.searchsorted(seeds, chunk.seed)
-                at[at == len(seeds)] = 0
-                mine = seeds[at] == chunk.seed
-                alone = np.zeros(len(chunk.at), bool)
-                alone[first] = True
-                which = np.flatnonzero(mine & alone)  # distinct windows, each once
-                if not len(which):
-                    continue
-                prefix = np.where(extend[at[which]], chunk.full[which], chunk.seed[which])
-                of, place = _group(_mixed(prefix.copy()), n_groups), chunk.at[which]
-                words = [w for ws in chunk.words for w in ws]
-                # neighbouring windows of one group become one run of words
-                order = np.lexsort((place, of))
-                of, place = of[order], place[order]
-                new = np.concatenate([[True], (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1)])
-                starts = np.flatnonzero(new)
-                lengths = np.diff(np.append(starts, len(place)))
-                names, blobs = [], []
-                edges = np.flatnonzero(np.concatenate([[True], of[starts][1:] != of[starts][:-1], [True]]))
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    p, n = place[starts[a:b]], lengths[a:b]
-                    text = b" ".join(b" ".join(words[i : i + k + window - 1]) for i, k in zip(p.tolist(), n.tolist(), strict=True))
-                    doc = chunk.ids[chunk.doc[p]]
-                    data = struct.pack("<q", len(p)) + p.astype("<i8").tobytes() + n.astype("<i8").tobytes() + doc.astype("<i8").tobytes() + text
-                    names.append(int(of[starts[a]]))
-                    blobs.append(zstandard.ZstdCompressor(level=1).compress(data))
-                yield pa.record_batch([pa.array(names, pa.int64()), pa.array([name] * len(names), pa.int64()), pa.array(blobs, pa.binary())], ["grp", "chunk", "suffixes"])
+            for name, blob, again, replies in zip(*(batch.column(c) for c in ("chunk", "blob", "again", "shared")), strict=True):
+                made = of_chunk(name.as_py(), blob.as_py(), again.as_py(), replies.as_py())
+                if made is not None:
+                    yield made
 
     return each
 
@@ -252,50 +310,106 @@ def _suffix_blocks(n_groups: int, window: int, seed: int):
 # 4. subtrees
 
 
-def deep_nodes(suffixes: np.ndarray) -> np.ndarray:
-    """The deep node of each suffix: suffixes (rows of word numbers) are sorted, and neighbours of
-    full common prefix hang under one node. Returns node numbers."""
-    order = np.lexsort(suffixes.T[::-1])
-    rows = suffixes[order]
-    same = rows[1:] == rows[:-1]
-    prefix = np.where(same.all(axis=1), suffixes.shape[1], np.argmin(same, axis=1))  # longest common prefix of neighbours
-    node = np.zeros(len(rows), np.int64)
-    node[order] = np.concatenate([[0], np.cumsum(prefix < suffixes.shape[1])])
-    return node
-
-
-def _subtrees(window: int):
-    """Of a group's suffixes: to each chunk, the places of its windows that a smaller document starts too, with that document."""
+def _named(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers from 0 for the distinct values, and how many there are."""
+    found, which = np.unique(values, return_inverse=True)
+    return which.astype(np.int64), len(found)
+
+
+def _extremes(node: np.ndarray, n: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each node, its smallest and its largest document."""
+    order = np.argsort(node, kind="stable")
+    starts = np.searchsorted(node[order], np.arange(n))
+    return np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts)
+
+
+def subtree(words: np.ndarray, base: np.ndarray, room: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each suffix, the depth of its deepest node that a smaller document shares (0: none of window words); its node at
+    the depth of a window; and the smallest document of those nodes.
+
+    A suffix starts at base in words, has room words and lies in doc. Suffixes have a window's words at least.
+    """
+    # names of ever longer prefixes: two of half the length, at last two that overlap
+    name, width = words.astype(np.int64), 1
+    while width < window:
+        step = min(width, window - width)
+        name, _ = _named(name[:-step] * (int(name.max()) + 1) + name[step:]) if len(name) > step else (name, 0)
+        width += step
+    node, n = _named(name[base])
+    least, most = _extremes(node, n, doc)
+    top = node
+    depth = np.where(least[node] < doc, window, 0)
+    at = np.flatnonzero((least < most)[node])
+    node, level, roots = node[at], window, least
+    n_words = int(words.max()) + 1 if len(words) else 1
+    while len(at):
+        longer = room[at] > level
+        at, node = at[longer], node[longer]
+        if not len(at):
+            break
+        node, n = _named(node * n_words + words[base[at] + level])
+        level += 1
+        least, most = _extremes(node, n, doc[at])
+        shared = least[node] < doc[at]
+        depth[at[shared]] = level
+        alive = (least < most)[node]
+        at, node = at[alive], node[alive]
+    return depth, top, roots
+
+
+_FOUND = "chunk long, hits binary, grp long, bucket long, suffixes binary"
+
+
+def _subtrees(window: int, last: bool):
+    """Of a group's suffixes: to each chunk, place and length of the maximal repeats that a smaller document shares.
+    Unless this is the last step, also the suffixes of the smallest document of each node of an extended prefix, for the next."""
+    fan = FAN
 
     def each(rows: pa.Table) -> pa.Table:
         known: dict[bytes, int] = {}
-        number, mats, docs, places, owners = known.setdefault, [], [], [], []
+        number, ids, starts, counts, docs, places, owners, at = known.setdefault, [], [], [], [], [], [], 0
         for owner, blob in enumerate(rows.column("suffixes")):
-            data = zstandard.ZstdDecompressor().decompress(blob.as_py())
-            (n,) = struct.unpack_from("<q", data)
-            place, count, doc = np.frombuffer(data, "<i8", 3 * n, 8).reshape(3, n)
-            words = data[8 + 24 * n :].split()
-            ids = np.fromiter((number(w, len(known)) for w in words), np.int32, len(words))
-            spans = count + window - 1
-            inside = np.arange(count.sum()) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-            base = np.repeat(np.concatenate([[0], np.cumsum(spans)[:-1]]), count) + inside
-            mats.append(ids[base[:, None] + np.arange(window)])
-            docs.append(np.repeat(doc, count))
-            places.append(np.repeat(place, count) + inside)
-            owners.append(np.full(len(inside), owner))
-        node = deep_nodes(np.concatenate(mats))
-        doc, place, owner = np.concatenate(docs), np.concatenate(places), np.concatenate(owners)
-        least = np.full(node.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, node, doc)
-        hit = np.flatnonzero(least[node] < doc)
-        names, blobs, chunks = [], [], rows.column("chunk").to_pylist()
+            runs = Runs.unpacked(blob.as_py())
+            words = runs.text.split()
+            ids.append(np.fromiter((number(w, len(known)) for w in words), np.int64, len(words)))
+            spans = runs.count + window - 1
+            starts.append(at + np.cumsum(spans) - spans)
+            at += len(words)
+            counts.append(runs.count)
+            docs.append(runs.doc)
+            places.append(runs.place)
+            owners.append(np.full(len(spans), owner))
+        ids, starts, counts, docs, places, owners = (np.concatenate(x) for x in (ids, starts, counts, docs, places, owners))
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        base, place, doc, owner = np.repeat(starts, counts) + inside, np.repeat(places, counts) + inside, np.repeat(docs, counts), np.repeat(owners, counts)
+        depth, node, least = subtree(ids, base, np.repeat(counts, counts) - inside + window - 1, doc, window)
+        # a repeat that starts a word after one that reaches as far is not maximal
+        maximal = depth > 0
+        maximal[1:] &= ~((inside[1:] > 0) & (depth[:-1] > depth[1:]))
+        hit = np.flatnonzero(maximal)
+        chunks = rows.column("chunk").to_pylist()
+        names, blobs = [], []
         edges = np.searchsorted(owner[hit], np.arange(len(chunks) + 1))
         for i, name in enumerate(chunks):
             h = hit[edges[i] : edges[i + 1]]
             if len(h):
                 names.append(name)
-                blobs.append(zstandard.ZstdCompressor(level=1).compress(np.concatenate([place[h], least[node[h]]]).astype("<i8").tobytes()))
-        return pa.table({"chunk": pa.array(names, pa.int64()), "hits": pa.array(blobs, pa.binary())})
+                blobs.append(_squeezed(np.stack([place[h], depth[h]]).astype("<i8").tobytes()))
+        cols = [names, blobs, *([None] * len(names) for _ in range(3))]
+        bucket = rows.column("bucket")[0].as_py()
+        if not last and bucket >= 0:
+            smallest = np.flatnonzero(least[node] == doc)  # one of each node, or several of one repeated doc_id
+            spell, grp = list(known), rows.column("grp")[0].as_py()
+            edges = np.searchsorted(owner[smallest], np.arange(len(chunks) + 1))
+            for i, name in enumerate(chunks):
+                s = smallest[edges[i] : edges[i + 1]]
+                if len(s):
+                    text = b" ".join(spell[w] for b in base[s].tolist() for w in ids[b : b + window].tolist())
+                    row = name, None, grp, bucket // fan, Runs(place[s], np.ones(len(s), np.int64), doc[s], text).packed()
+                    for col, x in zip(cols, row, strict=True):
+                        col.append(x)
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["chunk", "hits", "grp", "bucket", "suffixes"])
 
     return each
 
@@ -303,28 +417,33 @@ def _subtrees(window: int):
 # 5. marks
 
 
-def marked(chunk: Chunk, replies: list[bytes]) -> np.ndarray:
+def marked(chunk: Chunk, window: int, again: bytes, replies: list[bytes]) -> np.ndarray:
     """Of each word of a chunk, whether it goes."""
-    gone = np.zeros(int(chunk.starts[-1]) + 1, np.int64)
-    if len(chunk.at):
-        inverse, first = chunk.firsts()
-        least = chunk.ids[chunk.doc[chunk.at[first]]].copy()  # by distinct window
-        for b in replies:
-            place, doc = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "<i8").reshape(2, -1)
-            which = inverse[np.searchsorted(chunk.at, place)]
-            np.minimum.at(least, which, doc)
-        hit = chunk.at[least[inverse] < chunk.ids[chunk.doc[chunk.at]]]
-        np.add.at(gone, hit, 1)
-        np.add.at(gone, hit + chunk.window, -1)
-    return np.cumsum(gone)[:-1] > 0
-
-
-def _results(window: int, seed: int, digest: bool):
+    total = int(chunk.starts[-1])
+
+    def covered(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        edge = np.zeros(total + 1, np.int64)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, ends, -1)
+        return np.cumsum(edge)[:-1] > 0
+
+    found = np.concatenate([np.zeros((2, 0), np.int64), *(np.frombuffer(_restored(b), "<i8").reshape(2, -1) for b in replies)], axis=1)
+    place, length = found
+    foreign = covered(place, place + length - window + 1)  # windows that a smaller document of another chunk has
+    later, first = np.frombuffer(_restored(again), "<i8").reshape(2, -1)
+    here = foreign[first] | (chunk.ids[chunk.doc[first]] < chunk.ids[chunk.doc[later]])
+    gone = np.concatenate([np.flatnonzero(foreign), later[here]])
+    return covered(gone, gone + window)
+
+
+def _results(window: int, digest: bool):
+    last = "kept_sha256" if digest else "kept_text"
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, replies in zip(batch.column("blob"), batch.column("hits").to_pylist(), strict=True):
-                chunk = Chunk(blob.as_py(), window, seed)
-                gone = marked(chunk, replies or [])
+            for blob, again, replies in zip(batch.column("blob"), batch.column("again"), batch.column("hits").to_pylist(), strict=True):
+                chunk = Chunk.unpacked(blob.as_py())
+                gone = marked(chunk, window, again.as_py(), replies or [])
                 removed, kept, spans = [], [], []
                 for i, words in enumerate(chunk.words):
                     g = gone[chunk.starts[i] : chunk.starts[i + 1]]
@@ -332,12 +451,16 @@ def _results(window: int, seed: int, digest: bool):
                     removed.append(n)
                     stays = b" ".join(words if not n else [w for w, x in zip(words, g.tolist(), strict=True) if not x])
                     kept.append(hashlib.sha256(stays).hexdigest() if digest else stays.decode("utf-8", "replace"))
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8))).reshape(-1, 2) if n else ()
-                    spans.append([{"start": int(a), "end": int(b)} for a, b in edges])
-                ids = pa.array(chunk.ids, mask=chunk.ids == _NO_ID)
-                counts = pa.array(np.diff(chunk.starts))
-                cols = [ids, counts, pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-                yield pa.record_batch(cols[: 4 if digest else 5], ["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept_text", "spans"][: 4 if digest else 5])
+                    if not digest:
+                        edges = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8))).reshape(-1, 2) if n else ()
+                        spans.append([{"start": int(a), "end": int(b)} for a, b in edges])
+                ids = pa.array(chunk.ids, mask=np.arange(len(chunk.ids)) < chunk.n_null)
+                cols = [ids, pa.array(np.diff(chunk.starts)), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+                names = ["doc_id", "n_words", "n_removed", last]
+                if not digest:
+                    cols.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
+                    names.append("spans")
+                yield pa.record_batch(cols, names)
 
     return each
 
@@ -345,16 +468,24 @@ def _results(window: int, seed: int, digest: bool):
 def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and spans (removed word ranges) of every row; with digest, kept_sha256 for the last two."""
     spark = docs.sparkSession
-    chunks = written(chunked(docs), "chunks")
-    total = chunks.agg(F.sum("n_words")).first()[0] or 0
-    n_groups = max(partitions(spark), -(-total // GROUP_WORDS))
-    lists = chunks.mapInArrow(_seed_blocks(n_groups, window, seed), "grp long, chunk long, seeds binary")
+    chunks = written(chunked(docs, window, seed), "chunks")
+    total, n_chunks = chunks.agg(F.sum("n_words"), F.count("*")).first()
+    n_groups = max(partitions(spark), -(-(total or 0) // GROUP_WORDS))
+    n_buckets = max(1, -(-n_chunks // FAN))
+    lists = chunks.select("chunk", "seeds", "heavy").mapInArrow(_seed_blocks(n_groups), "grp long, chunk long, seeds binary, heavy binary")
     shared = lists.groupBy("grp").applyInArrow(_shared_seeds(LONG_CHUNKS), "chunk long, shared binary")
     shared = shared.groupBy("chunk").agg(F.collect_list("shared").alias("shared"))  # one from each group at most
-    asked = chunks.join(shared.hint("merge"), "chunk").select("chunk", "blob", "shared")
-    suffixes = asked.mapInArrow(_suffix_blocks(n_groups, window, seed), "grp long, chunk long, suffixes binary")
-    hits = suffixes.groupBy("grp").applyInArrow(_subtrees(window), "chunk long, hits binary")
-    hits = written(hits.groupBy("chunk").agg(F.collect_list("hits").alias("hits")), "hits")
+    asked = chunks.select("chunk", "blob", "again").join(shared.hint("merge"), "chunk")
+    left = asked.mapInArrow(_suffix_blocks(n_groups, n_buckets, window, seed), "grp long, bucket long, chunk long, suffixes binary")
+    hits = None
+    while True:
+        found = written(left.groupBy("grp", "bucket").applyInArrow(_subtrees(window, n_buckets == 1), _FOUND), "hits")
+        some = found.where("hits is not null").select("chunk", "hits")
+        hits = some if hits is None else hits.unionByName(some)
+        if n_buckets == 1:
+            break
+        left, n_buckets = found.where("suffixes is not null").select("grp", "bucket", "chunk", "suffixes"), -(-n_buckets // FAN)
+    hits = hits.groupBy("chunk").agg(F.collect_list("hits").alias("hits"))
     last = "kept_sha256 string" if digest else "kept_text string, spans array<struct<start: long, end: long>>"
-    return chunks.join(hits.hint("merge"), "chunk", "left").select("blob", "hits").mapInArrow(_results(window, seed, digest), f"doc_id long, n_words long, n_removed long, {last}")
-
+    rows = chunks.select("chunk", "blob", "again").join(hits.hint("merge"), "chunk", "left").select("blob", "again", "hits")
+    return rows.mapInArrow(_results(window, digest), f"doc_id long, n_words long, n_removed long, {last}")

@@ -5,6 +5,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -90,18 +93,21 @@ def shingle_set(text, width):
 
 
 def op8(docs, width=3, percent=85):
-    sets = {doc: shingle_set(text, width) for doc, text in docs if doc is not None}
-    owners = defaultdict(list)
-    for doc, s in sets.items():
+    """By row: rows of one doc_id with other texts are documents of their own."""
+    sets = [shingle_set(text, width) for _, text in docs]
+    least, owners, shared = {}, defaultdict(list), Counter()
+    for (doc, _), s in zip(docs, sets, strict=True):
+        if doc is not None and s:
+            least[s] = min(least.get(s, doc), doc)
+    nodes = list(least)
+    for i, s in enumerate(nodes):
         for x in s:
-            owners[x].append(doc)
-    shared = Counter()
+            owners[x].append(i)
     for group in owners.values():
-        group.sort()
-        for i, a in enumerate(group):
-            for b in group[i + 1 :]:
+        for k, a in enumerate(group):
+            for b in group[k + 1 :]:
                 shared[a, b] += 1
-    top = {doc: doc for doc in sets}
+    top = list(range(len(nodes)))
 
     def find(x):
         while top[x] != x:
@@ -109,10 +115,13 @@ def op8(docs, width=3, percent=85):
         return x
 
     for (a, b), n in shared.items():
-        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
-            x, y = sorted((find(a), find(b)))
-            top[y] = x
-    return [(doc, len(shingle_set(text, width)), None if doc is None else find(doc), doc is None or find(doc) == doc) for doc, text in docs]
+        if 100 * n >= percent * (len(nodes[a]) + len(nodes[b]) - n):
+            top[find(a)] = find(b)
+    first = {}
+    for i, s in enumerate(nodes):
+        first[find(i)] = min(first.get(find(i), least[s]), least[s])
+    at = {s: first[find(i)] for i, s in enumerate(nodes)}
+    return [(doc, len(s), None if doc is None else at.get(s, doc), doc is None or at.get(s, doc) == doc) for (doc, _), s in zip(docs, sets, strict=True)]
 
 
 def line_key(line):
@@ -134,32 +143,61 @@ def op9(docs, chars=40, least=5):
     return out
 
 
+def tile(a, b, least):
+    """Greedy string tiling by plain dynamic programming: (length, place in a, place in b) of each tile in turn."""
+    a, b = a.copy(), b.copy()
+    out = []
+    while True:
+        run, best = np.zeros(len(b) + 1, int), (0, 0, 0)
+        for i in range(len(a) - 1, -1, -1):  # of each pair of places, how far they agree
+            run = np.append(np.where(a[i] == b, run[1:] + 1, 0), 0)
+            n = int(run.max())
+            if n and (n, -i) >= best[:2]:
+                best = (n, -i, -int(run.argmax()))
+        n, i, j = best[0], -best[1], -best[2]
+        if not n or n < min(least, len(b)):
+            return out
+        out.append((n, i, j))
+        a[i : i + n], b[j : j + n] = -1, -2
+
+
 def leaks(docs, items, least=4, threshold=0.5):
-    """Greedy string tiling by plain search: (doc, item) whose tiles cover enough."""
+    """(doc, item, its tokens, tokens covered, first token) of every document and item whose tiles cover enough."""
     strip = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»“”„‘’‚…–—¡¿·•"
-    tokens = lambda t: [x for x in (w.lower().strip(strip) for w in words(t)) if x]
-    out = set()
+    number = defaultdict(lambda: len(number))
+    tokens = lambda t: [number[x] for x in (w.lower().strip(strip) for w in words(t)) if x]
+    grams = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
+    others = [(item, b, grams(b, min(least, len(b)))) for item, b in ((item, tokens(t)) for item, t in items) if b]
+    out = []
     for doc, text in docs:
         a = tokens(text)
-        for item, other in items:
-            b = tokens(other)
-            if not b or not set(a) & set(b):
-                continue
-            used_a, used_b, covered = set(), set(), 0
-            while True:
-                best = (0, 0, 0)
-                for i in range(len(a)):
-                    for j in range(len(b)):
-                        n = 0
-                        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
-                            n += 1
-                        best = max(best, (n, -i, -j))
-                n, i, j = best[0], -best[1], -best[2]
-                if n < min(least, len(b)):
-                    break
-                used_a.update(range(i, i + n))
-                used_b.update(range(j, j + n))
-                covered += n
-            if covered and covered >= threshold * len(b):
-                out.add((doc, item))
+        mine = {n: grams(a, n) for n in range(1, least + 1)}
+        for item, b, g in others:
+            if mine[min(least, len(b))].isdisjoint(g):
+                continue  # no tile can be
+            found = tile(np.array(a), np.array(b), least)
+            covered = sum(x[0] for x in found)
+            if found and covered >= threshold * len(b):
+                out.append((doc, item, len(b), covered, min(x[1] for x in found)))
+    return out
+
+
+def op7(docs, shards=8, nodes=128, bits=16):
+    """Shard by doc_id of a walk around the ring, a document at a time: own places first, then what overflows."""
+    digest = lambda s, v: xxhash.xxh64(f"shard-{s}/node-{v}").intdigest()
+    points = sorted((digest(s, v) >> (64 - bits), s) for s in range(shards) for v in range(nodes))
+    room = [len(docs) // shards + (s < len(docs) % shards) for s in range(shards)]
+    out, late = [], []
+    for at, doc in sorted(docs):
+        k = next((i for i, (p, _) in enumerate(points) if p >= at), 0)
+        if room[points[k][1]]:
+            room[points[k][1]] -= 1
+            out.append((doc, points[k][1]))
+        else:
+            late.append((doc, k))
+    for doc, k in late:
+        while not room[points[k][1]]:
+            k = (k + 1) % len(points)
+        room[points[k][1]] -= 1
+        out.append((doc, points[k][1]))
     return out

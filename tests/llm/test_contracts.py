@@ -1,7 +1,9 @@
 """The queries against plain Python, on the driver's small table and on tables of odd rows."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
 pytest.importorskip("textloom.llm")
@@ -49,6 +51,8 @@ def odd_texts():
 def odd(spark):
     data = [(i * 3 - 5, t) for i, t in enumerate(odd_texts())]
     data += [data[7], data[9], (None, odd_texts()[7]), (None, None), (2**62, "far"), (-(2**62), odd_texts()[10])]
+    # the smallest id there is, and ids that repeat with other texts
+    data += [(-(2**63), odd_texts()[11]), (-(2**63), None), (4, odd_texts()[10]), (4, odd_texts()[15]), (4, odd_texts()[12]), (2**62, odd_texts()[16])]
     df = spark.createDataFrame([(d, t, *["?" if i else None for i in range(1)], 1, "s", "c", "cl", "l", "k") for d, t in data], DOCS).repartition(7)
     return df, data
 
@@ -67,22 +71,75 @@ def test_substring_dedup_in_small_chunks(spark, odd, monkeypatch):
     assert all(r.n_removed == sum(s["end"] - s["start"] for s in r.spans) for r in out)
 
 
-def test_deep_nodes():
-    import numpy as np
+def test_substring_dedup_of_hot_windows_in_steps(spark, odd, monkeypatch):
+    """Prefixes of many chunks, and of many windows, are extended and met in buckets of buckets."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 400)
+    monkeypatch.setattr(substring_dedup, "LONG_CHUNKS", 2)
+    monkeypatch.setattr(substring_dedup, "LONG_WINDOWS", 3)
+    monkeypatch.setattr(substring_dedup, "FAN", 3)
+    monkeypatch.setattr(substring_dedup, "MAX_RUN", 4)
+    data = [x for x in odd[1] if len(x[1] or "") < 20_000] * 2
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(16)
+    same(substring_dedup.deduplicated(df, digest=True), brute.op1(data), "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def test_subtree_nodes():
+    """Of each suffix, the depth of its deepest node of at least 3 words that a smaller document shares."""
+    rnd = random.Random(3)
+    for _ in range(300):
+        runs = [[rnd.randrange(3) for _ in range(rnd.randrange(3, 12))] for _ in range(6)]
+        docs = [rnd.randrange(4) for _ in runs]
+        words = np.array([w for r in runs for w in r], np.int64)
+        ends = np.cumsum([len(r) for r in runs])
+        starts = ends - [len(r) for r in runs]
+        base = np.concatenate([np.arange(a, b - 2) for a, b in zip(starts, ends, strict=True)])
+        run = np.searchsorted(ends, base, "right")
+        got, _, _ = substring_dedup.subtree(words, base, ends[run] - base, np.array(docs)[run], 3)
+        suffixes = [(docs[r], tuple(words[b : ends[r]].tolist())) for b, r in zip(base.tolist(), run.tolist(), strict=True)]
+
+        def common(x, y):
+            return next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
 
-    node = substring_dedup.deep_nodes(np.array([[1, 2, 3], [1, 2, 4], [1, 2, 3], [0, 0, 0]]))
-    assert node[0] == node[2] and len(set(node.tolist())) == 3
+        want = [max([n for d, t in suffixes if d < doc and (n := common(s, t)) >= 3], default=0) for doc, s in suffixes]
+        assert got.tolist() == want
 
 
 def test_decontamination_real(spark, real):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(real[0], bench).collect()}
-    items = [(r.item_id, r.text) for r in bench.collect()]
-    short = [(d, t) for d, t in real[1] if len(t) < 900 and (d % 9 == 0 or d in {x for x, _ in got})]
-    assert brute.leaks(short, items) == {x for x in got if x[0] in {d for d, _ in short}}
-    assert len(got) == 26
+    want = brute.leaks(real[1], [(r.item_id, r.text) for r in bench.collect()])
+    same(decontamination.leaks(real[0], bench), want, "doc_id", "item_id", "n_item_tokens", "n_covered", "at")
+    assert want
+    clean = decontamination.clean(real[0], bench)
+    assert clean.columns == real[0].columns and {r.doc_id for r in clean.select("doc_id").collect()} == {d for d, _ in real[1]} - {x[0] for x in want}
+
+
+def test_tiling_of_few_words():
+    rnd = random.Random(8)
+    for _ in range(400):
+        letters = rnd.choice(["ab", "abc", "abcdef"])
+        doc, item = (" ".join(rnd.choice(letters) for _ in range(rnd.randrange(1, n))) for n in (60, 30))
+        index = decontamination.Index([(1, item)])
+        ids = np.array([index.vocab.get(w, 0) for w in doc.split()], np.uint64)
+        assert [(9, *m) for m in decontamination.matches(ids, index)] == brute.leaks([(9, doc)], [(1, item)])
+
+
+def test_tiling_of_a_repetitive_text_is_fast():
+    index = decontamination.Index([(1, "again " * 4000)])
+    began = time.time()
+    assert decontamination.matches(np.ones(20_000, np.uint64), index) == [(1, 4000, 4000, 0)]
+    assert time.time() - began < 1
+
+
+def test_decontamination_plan_holds_one_block(spark, real, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 4000)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    monkeypatch.setattr(decontamination, "blocks", lambda b, blocks=decontamination.blocks: blocks(b, 4000))
+    assert len(list(decontamination.blocks(bench))) > 3
+    want = {(r.doc_id, r.item_id) for r in decontamination.leaks(real[0], bench).collect()}
+    assert want == {x[:2] for x in brute.leaks([x for x in real[1] if x[0] in {d for d, _ in want}], [(r.item_id, r.text) for r in bench.collect()])}
     clean = decontamination.clean(real[0], bench)
-    assert clean.columns == real[0].columns and {r.doc_id for r in clean.select("doc_id").collect()} == {d for d, _ in real[1]} - {d for d, _ in got}
+    assert "MapInArrow" not in clean._jdf.queryExecution().executedPlan().toString()
+    assert clean.columns == real[0].columns and {r.doc_id for r in clean.collect()} == {d for d, _ in real[1]} - {d for d, _ in want}
 
 
 def test_decontamination_odd(spark, monkeypatch):
@@ -94,22 +151,17 @@ def test_decontamination_odd(spark, monkeypatch):
     bench = spark.createDataFrame([(1, item), (2, "yes no"), (3, None), (4, ""), (5, "...")], "item_id long, text string")
     want = {(1, 1), (2, 1), (None, 1), (6, 2), (7, 2), (8, 1)}
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(df, bench).collect()} == want
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 64)
     blocks = list(decontamination.blocks(bench, 64))
     assert len(blocks) > 1 and sum(map(len, blocks)) == 4
+    monkeypatch.setattr(decontamination, "blocks", lambda b: blocks)
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(df, bench).collect()} == want
     assert sorted(r.doc_id for r in decontamination.clean(df, bench).collect()) == [3, 4, 5]
+    monkeypatch.undo()
     empty = bench.where("false")
     assert decontamination.leaks(df, empty).count() == 0 and decontamination.clean(df, empty).count() == len(docs)
     assert decontamination.leaks(df.where("false"), bench).count() == 0
 
 
-def test_tiles():
-    # the second overlaps the first in one token of the item; four of its five stay
-    assert decontamination.tiles([(6, 0, 0), (5, 20, 5)], 10) == [(6, 0, 0), (4, 21, 6)]
-    found = decontamination.tiles([(6, 0, 0), (9, 100, 1)], 10)
-    assert found[0] == (9, 100, 1) and sum(x[0] for x in found) == 9
-
-
 def test_quality_rules(spark, real, odd):
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     for df, data in (real, odd):
@@ -137,6 +189,11 @@ def test_url_filter(spark):
             "https://É.net/es/é/ü", "http://net/es/?q=://", "a://b://c.com/", "http://com/en/" + "p/" * 3000, "http://.com/", "http://com./", "http://u@com:80/", "http://a\nb.com/x\ny", "http://x.com/a\u2028b"]
     df = spark.createDataFrame([(i % 17, u, "h") for i, u in enumerate(urls)], "page_id long, url string, rule string")
     same(url_filter.judged(df), brute.op5([(i % 17, u) for i, u in enumerate(urls)]), *cols)
+    accents = [("block", "É.net", "/"), ("allow", "ÀB.CoM", "/x")]
+    data = [(1, "http://É.net/a"), (2, "http://é.net/a"), (3, "http://www.ÀB.com/x"), (4, "http://Àb.COM/y")]
+    want = brute.op5(data, [("block", "É.net", "/"), ("allow", "Àb.com", "/x")])
+    assert [x[3] for x in want] == ["É.net/", None, "Àb.com/x", None]
+    same(url_filter.judged(spark.createDataFrame(data, "page_id long, url string"), url_filter.rule_table(spark, accents)), want, *cols)
     rules = [("block", "com", "/e"), ("allow", "com", "/en"), ("allow", "b.com", ""), ("block", "COM", "/en"), ("block", "x", None)]
     table = spark.createDataFrame(rules, "verdict string, host string, path string")
     data = [(1, "http://a.b.com/en"), (2, "http://com/ex"), (3, "http://com/eng/"), (4, "http://b.com")]
@@ -150,6 +207,8 @@ def test_url_filter_long_rules(spark):
     long = "/" + "a" * url_filter.MAX_PATH
     rules = [("block", "com", long + "/x"), ("allow", "com", long + "/xy"), ("block", "b.com", long[:-1]), ("allow", "net", long)]
     data = list(enumerate(f"http://{h}{p}" for h in ("com", "b.com", "net") for p in (long, long[:-1], long[:-2], long + "/x", long + "/xyz", long + "/y", long[:-1] + "b")))
+    rules.append(("block", "org", "/" + "p" * 3000))
+    data += [(100, "http://org/" + "p" * 2100), (101, "http://org/" + "p" * 3000 + "/x")]
     found = url_filter.judged(spark.createDataFrame(data, "page_id long, url string"), url_filter.rule_table(spark, rules))
     same(found, brute.op5(data, rules), "page_id", "host", "path", "rule", "verdict")
 
@@ -218,6 +277,26 @@ def test_sharding(spark, real, odd):
     assert sharding.placed(real[0].where("false")).count() == 0
 
 
+@pytest.mark.parametrize("rows, part", [(1 << 16, 1 << 12), (4, 3)])
+def test_sharding_by_a_plain_walk(spark, odd, monkeypatch, rows, part):
+    """Counts of each doc_id in each shard, also where equal and null ids make a position hot."""
+    from collections import Counter
+
+    monkeypatch.setattr(sharding, "SLICE_ROWS", rows)
+    monkeypatch.setattr(sharding, "PART", part)
+    data = [*odd[1], *[(None, f"text {i}") for i in range(300)], *[(11, "same")] * 400]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    at = {r.doc_id: r._pos for r in sharding.keyed(df).collect()}
+    out = sharding.placed(df).collect()
+    want = Counter(brute.op7([(at[d], i) for i, (d, _) in enumerate(data)]))
+    shard = dict(want)  # rows of one position are alike to the ring: compare how many of it each shard has
+    count = Counter((at[data[i][0]], s) for i, s in shard)
+    assert Counter((at[r.doc_id], r.shard) for r in out) == count
+    slots = Counter((r.shard, r.slot) for r in out)
+    assert max(slots.values()) == 1 and all(s < sum(1 for x in slots if x[0] == k) for k, s in slots)
+    assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, sharding.placed(df.repartition(3)).collect()), key=repr)
+
+
 def test_ring_moves_little():
     rnd = random.Random(3)
     counts = {rnd.randrange(sharding.RING): rnd.randrange(1, 9) for _ in range(4000)}
@@ -249,11 +328,38 @@ def test_near_dedup(spark, real, odd):
     assert near_dedup.classes(real[0].where("false")).count() == 0
 
 
-def test_near_dedup_in_blocks(spark, odd, monkeypatch):
+def test_near_dedup_in_blocks(spark, real, odd, monkeypatch):
     monkeypatch.setattr(near_dedup, "LIST_BLOCK", 4)
     monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", 400)
-    df, data = odd
-    same(near_dedup.classes(df, 3, 85), brute.op8(data, 3, 85), "doc_id", "n_shingles", "component_id", "kept")
+    monkeypatch.setattr(near_dedup, "BRIDGES", 2)
+    for df, data in (real, odd):
+        same(near_dedup.classes(df, 3, 85), brute.op8(data, 3, 85), "doc_id", "n_shingles", "component_id", "kept")
+
+
+def test_near_dedup_exact(spark, real, odd):
+    for df, data in (real, odd):
+        same(near_dedup.classes(df, 3, 85, exact=True), brute.op8(data, 3, 85), "doc_id", "n_shingles", "component_id", "kept")
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    a, b = ("one text about the river and the old mill that stands by it " * 2, "another text of the sea and all the ships that sail on it " * 2)
+    for data in ([(7, a), (7, b), (3, b)], [(7, a), (7, b), (3, b), (3, a)], [(7, a), (7, a), (7, b)]):
+        df = spark.createDataFrame(data, "doc_id long, text string")
+        same(near_dedup.classes(df), brute.op8(data, 5, 80), "doc_id", "n_shingles", "component_id", "kept")
+        kept = [(r.doc_id, r.text) for r in near_dedup.deduplicated(df).collect()]
+        assert sorted(kept) == sorted(x for x, y in zip(data, brute.op8(data, 5, 80), strict=True) if y[3])
+
+
+def test_prefixes_miss_no_pair():
+    """Sets that share a share of the larger one share a value of their prefixes, under any order."""
+    rnd = random.Random(4)
+    for _ in range(3000):
+        values = rnd.sample(range(100), 100)  # the order
+        share = rnd.choice([0.376, 0.471, 0.8])
+        a, b = (set(rnd.sample(range(45), rnd.randrange(1, 33))) for _ in range(2))
+        if len(a & b) >= share * max(len(a), len(b)):
+            short = [set(sorted(x, key=values.__getitem__)[: near_dedup.prefix(len(x), share)]) for x in (a, b)]
+            assert short[0] & short[1]
 
 
 def test_union_estimate():
@@ -274,6 +380,27 @@ def test_line_dedup(spark, real, odd):
     assert line_dedup.deduplicated(real[0].where("false")).count() == 0
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    line = "this line is more than forty characters long, as it must be"
+    data = [(7, line + "\nx\ny\nz"), (7, line), (7, "a\n" + line), *[(i, f"{i}\n{line}") for i in range(1, 5)], (9, line), (9, line), (None, line)]
+    for some in (data, data[:5], data[:7]):
+        df = spark.createDataFrame(some, "doc_id long, text string")
+        same(line_dedup.deduplicated(df, digest=True), brute.op9(some), "doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+def test_line_runs_over_many_borders(spark):
+    """Runs of two documents a partition: counts and keepers come from the pieces."""
+    line = "a line that is long enough to count and is found in several texts"
+    data = [(i, f"{line} {i % 3}\n{line} {i % 7}\n{line} {i // 4}") for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        same(line_dedup.deduplicated(df, digest=True), brute.op9(data), "doc_id", "n_lines", "n_dropped", "kept_sha256")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_line_dedup_cuts_hot_runs(spark):
     line = "a hot line that a very large number of the documents hold, in turn"
     data = [(i, f"{line}\n{line}\nown line of the document with number {i} and nothing else") for i in range(3000)]
@@ -320,6 +447,36 @@ def test_mixing_targets_and_knapsack():
         assert sum(p * n for p, n in zip(picks, lengths, strict=True)) == max(s for s in sums if s <= budget)
 
 
+def test_mixing_of_many_lengths(spark):
+    """Over 512 lengths of one source: the words taken meet the target's whole number; targets equal the plain ones."""
+    from textloom.llm import mixing
+
+    data = [(i, "w " * (i + 1), "ab"[i % 2]) for i in range(1600)] + [(5, "w " * 6, None), (None, "w", "c"), (None, None, "c"), (None, "x", "c")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    out = mixing.mixed(df).collect()
+    size = {s: sum(r.size for r in out if r.source == s) for s in {r.source for r in out}}
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    for s, target in zip(order, mixing.targets([size[s] for s in order]), strict=True):
+        assert all(r.target == pytest.approx(target) for r in out if r.source == s)
+        assert sum(r.taken for r in out if r.source == s) == round(target)
+    taken = sorted(((r.doc_id, r.text, r.source) for r in mixing.taken(df).collect() if r.doc_id is not None), key=repr)
+    assert taken == sorted(((r.doc_id, t, r.source) for r in out if r.doc_id is not None for _ in range(r.copies) for d, t, s in [next(x for x in data if x[0] == r.doc_id and x[2] == r.source)]), key=repr)
+
+
+def test_mixing_fits_exactly():
+    from textloom.llm import mixing
+
+    assert mixing.fitted(np.array([590_000, 600_000, 1_000_000]), np.ones(3, int), 1_190_000).tolist() == [1, 1, 0]
+    rnd = np.random.default_rng(6)
+    for n, top in ((3000, 20_000), (800, 1_000_000)):
+        lengths = np.unique(rnd.integers(1, top, n))
+        counts = rnd.integers(1, 4, len(lengths))
+        for share in (0.01, 0.3, 0.97):
+            budget = int((lengths * counts).sum() * share)
+            picks = mixing.fitted(lengths, counts, budget)
+            assert (0 <= picks).all() and (picks <= counts).all() and int((picks * lengths).sum()) == budget
+
+
 def test_shared_rows_survive_clashing_columns(spark, odd):
     df, _ = odd
     assert quality_rules.kept(df).columns == df.columns and near_dedup.deduplicated(df).columns == df.columns

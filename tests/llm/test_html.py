@@ -106,6 +106,49 @@ def test_only_text_and_furniture_are_lines():
     assert html_extract.page_lines(f"<div><div><h1>T</h1></div><div>{AD}<p>x</p></div></div>")[0] == ["T", "", "x"]
 
 
+STRAY = "<div>Subscribe</div><div>12:30</div><div>Menu</div><div>Search</div>"
+LINKS = "".join(f'<div><a href="/{i}">Another story of the week, number {i}</a></div>' for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f"<body>{STRAY}<p>{PROSE[0]}</p><p>Short.</p><p>{PROSE[1]}</p>{LINKS}<div>Imprint</div>", ["Menu", "Search", PROSE[0], "Short.", PROSE[1]]),  # a block before the surge is in it
+        (f"<body>{LINKS}{BODY}{LINKS}<p>{PROSE[0]}</p>{LINKS}", [*PROSE, *(f"Another story of the week, number {i}" for i in range(5)), PROSE[0]]),
+        (f'<body>{LINKS}<h1><a href="/">A title that links</a></h1>{BODY}', ["A title that links", *PROSE]),
+        (f"<body>{STRAY}{LINKS}<article><p>Short.</p>{LINKS}<p>End.</p></article>{STRAY}{LINKS}", ["Short.", *(f"Another story of the week, number {i}" for i in range(5)), "End."]),
+        (f"<body>{LINKS}", [f"Another story of the week, number {i}" for i in range(5)]),
+    ],
+)
+def test_the_distribution_decides(page, expected):
+    """Surge and dive choose the lines; without them, all that is no furniture would stay."""
+    assert html_extract.main_text(page).split("\n") == expected
+    texts, inside = html_extract.page_lines(page)
+    assert "".join(texts) != "".join(expected) or page == f"<body>{LINKS}"
+
+
+def test_regions():
+    assert html_extract.blocks([1, 2, 3, 4]) == [6, 9, 7, 4]
+    assert html_extract.regions([5, 5, 5, 5, 90, 10, 0, 1, 0, 0, 0, 3, 200]) == [(2, 8), (11, 13)]
+    assert html_extract.regions([9, 0, 0, 0, 2]) == [(0, 1)] and html_extract.regions([0, 0]) == [] and html_extract.regions([]) == []
+
+
+def test_driver_pages_without_any_marks(spark):
+    """Tags and classes that tell article from furniture taken away: the distribution alone keeps the article and drops the menu."""
+    kept = lost = menu = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        page = r.html.replace(' class="ad"', "")
+        for tag in ("article", "nav", "footer"):
+            page = page.replace(f"<{tag}>", "<div>").replace(f"</{tag}>", "</div>")
+        found = set(html_extract.main_text(page).split("\n"))
+        blocks = Article(r.html).blocks
+        kept += len([x for x in blocks if x in found])
+        lost += len([x for x in blocks if x not in found])
+        links = r.html.split("<nav>")[1].split("</nav>")[0].split("</a>")[:-1]
+        menu += len([x for x in links if x.rsplit(">", 1)[1] in found - set(blocks)])
+    assert lost == 0 and kept > 1000 and menu == 0
+
+
 COMMENTS = f'<section class="comments"><article><p>{PROSE[0]} I disagree with all of it.</p></article></section>'
 
 

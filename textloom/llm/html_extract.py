@@ -1,17 +1,18 @@
 """HTML extraction by line-block distribution.
 
-A page becomes lines: markup is stripped, block-level tags end a line, and comments,
-scripts, styles and the subtrees of page furniture (menus, headers, footers, sidebars,
-notices, adverts, forms, reader comments) are struck out, each leaving an empty line; tags
-without text leave none. Text lengths are summed over sliding windows of WINDOW lines. Where
-the sum first surges from nothing the text begins, where it last dives back to nothing it
-ends. When the page marks its article, the points are sought inside it. All lines between the
-points are kept, headings and short ones included, however much text is around them.
-
-A form, or a wrapper that only its class, id or role makes furniture, may be the page's layout.
-It stays after all if it holds the <main>; if it holds an <article> with more text than the
+A page becomes lines: markup, comments, scripts, styles and what is never shown are stripped, and block-level
+tags end a line. Each line has a weight: the length of its text outside links (of a heading, all of it), up to FULL; MARKED more
+inside the page's <article> or <main>; nothing outside of it, if it has text, and nothing for page furniture (menus,
+headers, footers, sidebars, notices, adverts, forms, reader comments), of which neighbouring lines count as one.
+Weights are summed over sliding windows of WINDOW lines. Where the sum surges over THRESHOLD, or over half of the page's greatest
+sum if that is less, a stretch of text begins; where it dives to nothing, the stretch ends. What lies between
+the first surge and the last dive is kept, less furniture. So the distribution drops stray short lines and
+links before the text, and lists of links, and what follows them without surging again, after it.
+
+A form, or a wrapper that only its class, id or role makes furniture, may be the page's layout, and then weighs like text.
+It does if it holds the <main>; if it holds an <article> with more text than the
 page has otherwise; or if the page's densest block of lines lies in it. Wrappers of other
-texts (comments, adverts, notices, related stories) stay only for a <main>, or for an
+texts (comments, adverts, notices, related stories) do only for a <main>, or for an
 <article> on a page without any other text.
 
 Defined results: null or empty html gives the empty text; a page without markup is all
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,10 @@ from .common import arrow_map
 
 #: Lines in a block.
 WINDOW = 3
+#: Characters in a block that begin a stretch of text.
+THRESHOLD = 80
+#: What one line weighs at most by its length, and what it weighs more inside the article: a short line there surges by itself.
+FULL, MARKED = 400, THRESHOLD + 1
 
 _BLOCK = frozenset(
     """address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset
@@ -106,34 +112,42 @@ class Mark:
         self.main, self.wrappers = tag == "main", wrappers
 
 
-#: Pieces of a line with the wrappers around each, and the line's mark.
-Line = tuple[list[tuple[tuple[Wrapper, ...], str]], Mark | None]
+#: What is around a piece of an element that is always furniture.
+_ALWAYS = (Wrapper(_OTHERS),)
+#: A piece of a line: the wrappers around it, its text, and whether that is a link's.
+Piece = tuple[tuple[Wrapper, ...], str, bool]
+#: Pieces of a line, and the line's mark.
+Line = tuple[list[Piece], Mark | None]
 
 
-def _text(pieces: list[tuple[tuple[Wrapper, ...], str]], lifted: frozenset[Wrapper]) -> str:
-    return _SPACE.sub(" ", html.unescape("".join(x for wrappers, x in pieces if not wrappers or lifted.issuperset(wrappers)))).strip()
+def _text(pieces: list[Piece], lifted: frozenset[Wrapper], links: bool = True) -> str:
+    return _SPACE.sub(" ", html.unescape("".join(x for wrappers, x, link in pieces if (links or not link) and (not wrappers or lifted.issuperset(wrappers))))).strip()
 
 
 def parsed(page: str) -> list[Line]:
-    """The page's lines, without pieces where furniture was struck out."""
+    """The page's lines."""
     lines: list[Line] = []
-    parts: list[tuple[tuple[Wrapper, ...], str]] = []
+    parts: list[Piece] = []
     stack: list[tuple[str, bool, Wrapper | None, bool]] = []  # tag, furniture, wrapper, mark
     wrappers: tuple[Wrapper, ...] = ()
     mark: Mark | None = None
-    skip = 0
-    struck = False
+    skip = links = headings = 0
 
     def end() -> None:
-        nonlocal parts, struck
-        if struck or any(x and not x.isspace() for _, x in parts):
+        nonlocal parts
+        if any(x and not x.isspace() for _, x, _ in parts):
             lines.append((parts, mark))
-        parts, struck = [], False
+        parts = []
+
+    def put(text: str) -> None:
+        parts.append((_ALWAYS if skip else wrappers, text, links > 0 and not headings))
 
     def pop() -> None:
-        nonlocal skip, mark, wrappers
-        _, bad, wrapper, marked = stack.pop()
+        nonlocal skip, mark, wrappers, links, headings
+        tag, bad, wrapper, marked = stack.pop()
         skip -= bad
+        links -= tag == "a"
+        headings -= tag in _HEADING
         if wrapper:
             wrappers = wrappers[:-1]
         if marked:
@@ -152,13 +166,13 @@ def parsed(page: str) -> list[Line]:
     while True:
         found = _TOKEN.search(page, at)
         text = page[at : found.start() if found else len(page)]
-        if text and not skip:
-            parts.append((wrappers, text))
+        if text:
+            put(text)
         if not found:
             break
         at = found.end()
-        if found[1] is not None and not skip:
-            parts.append((wrappers, html.escape(found[1], quote=False)))
+        if found[1] is not None:
+            put(html.escape(found[1], quote=False))
         tag = (found[3] or "").lower()
         if not tag:
             continue
@@ -199,44 +213,60 @@ def parsed(page: str) -> list[Line]:
             mark = Mark(tag, wrappers)
         stack.append((tag, bad, wrapper, marked))
         skip += bad
-        struck |= bad
+        links += tag == "a"
+        headings += tag in _HEADING
     end()
     return lines
 
 
 def page_lines(page: str, lines: list[Line] | None = None, lifted: frozenset[Wrapper] = frozenset()) -> tuple[list[str], list[bool]]:
-    """The page's lines, empty where furniture was struck out, and whether each is in its article."""
-    lines = parsed(page) if lines is None else lines
-    texts, inside, struck = [], [], False
+    """The page's lines, empty where they are furniture, and whether each is in its article."""
+    texts, inside, _ = _laid(parsed(page) if lines is None else lines, lifted)
+    return texts, inside
+
+
+def _laid(lines: list[Line], lifted: frozenset[Wrapper]) -> tuple[list[str], list[bool], list[int]]:
+    """The lines' texts, whether each is in the article, and its length outside links. Neighbouring lines of furniture are one, without text."""
+    texts, inside, lengths, empty = [], [], [], False
     for pieces, mark in lines:
         text = _text(pieces, lifted)
-        if text or not struck:  # what one wrapper hides is one empty line
+        if text or not empty:
             texts.append(text)
             inside.append(mark is not None and lifted.issuperset(mark.wrappers))
-        struck = not text and bool(pieces)
-    return texts, inside
+            lengths.append(len(_text(pieces, lifted, False)) if text and any(link for _, _, link in pieces) else len(text))
+        empty = not text
+    return texts, inside, lengths
 
 
-def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """(surge, dive) of every stretch of lines over which the windowed text length stays above nothing."""
-    n, out, i = len(lengths), [], 0
-    block = [sum(lengths[max(0, i - window + 1) : i + 1]) for i in range(n)]
-    while i < n:
-        if block[i] > 0:
-            j = i
-            while j + 1 < n and block[j + 1] > 0:
-                j += 1
-            last = j
-            while not lengths[last]:
-                last -= 1
-            out.append((i, last + 1))
-            i = j
+def weights(texts: list[str], inside: list[bool], lengths: list[int]) -> list[int]:
+    """What each line weighs in the distribution."""
+    if any(x and y for x, y in zip(texts, inside, strict=True)):
+        return [min(n, FULL) + MARKED if text and y else 0 for text, y, n in zip(texts, inside, lengths, strict=True)]
+    return [min(n, FULL) for n in lengths]
+
+
+def blocks(weight: list[int], window: int = WINDOW) -> list[int]:
+    """The sum of each line's weight and those of the next ones in its window."""
+    sums = [0, *accumulate(weight)]
+    return [sums[min(i + window, len(weight))] - sums[i] for i in range(len(weight))]
+
+
+def regions(weight: list[int], window: int = WINDOW, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """(surge, dive) of every stretch of text: from a block above the threshold to the next of no weight, without lines of no weight at both ends."""
+    block, out, i = blocks(weight, window), [], 0
+    least = min(threshold, max(block, default=0) / 2)
+    while i < len(block):
+        if block[i] > least:
+            dive = next((j for j in range(i, len(block)) if not block[j]), len(block))
+            some = [k for k in range(i, dive) if weight[k]]
+            out.append((some[0], some[-1] + 1))
+            i = dive
         i += 1
     return out
 
 
 def _chosen(texts: list[str], inside: list[bool]) -> list[str]:
-    """Lines outside the article, if it has text, are struck out like furniture."""
+    """The lines' texts, without those outside the article if it has text."""
     if any(x and y for x, y in zip(texts, inside, strict=True)):
         return [x if y else "" for x, y in zip(texts, inside, strict=True)]
     return texts
@@ -250,7 +280,7 @@ def _peak(lengths: list[int], window: int = WINDOW) -> int:
 def layout(lines: list[Line]) -> frozenset[Wrapper]:
     """The wrappers that hold the page's text."""
     lifted: frozenset[Wrapper] = frozenset()
-    around = {wrappers for pieces, _ in lines for wrappers, _ in pieces if wrappers}
+    around = {wrappers for pieces, _ in lines for wrappers, _, _ in pieces if wrappers}
     marks: dict[tuple[Wrapper, ...], list[int]] = {}  # lengths of the lines in the marks of each nest
     mains = set()
     for pieces, mark in lines:
@@ -268,9 +298,9 @@ def layout(lines: list[Line]) -> frozenset[Wrapper]:
         for pieces, mark in lines:
             if apart and mark and mark.wrappers == apart or within and not (mark and lifted.issuperset(mark.wrappers)):
                 continue
-            for wrappers in dict.fromkeys(w for w, _ in pieces):
+            for wrappers in dict.fromkeys(w for w, _, _ in pieces):
                 if not lifted.issuperset(wrappers) and all(w.layout for w in wrappers):
-                    groups.setdefault(wrappers, []).append(len(_text([((), x) for w, x in pieces if w == wrappers], lifted)))
+                    groups.setdefault(wrappers, []).append(len(_text([((), x, link) for w, x, link in pieces if w == wrappers], lifted)))
         return {wrappers: _peak(x) for wrappers, x in groups.items() if any(x)}
 
     def is_page(nest: tuple[Wrapper, ...]) -> bool:
@@ -298,11 +328,11 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = parsed(page)
-    texts = _chosen(*page_lines(page, lines, layout(lines)))
-    found = regions([len(x) for x in texts])
+    texts, inside, lengths = _laid(lines, layout(lines))
+    found = regions(weights(texts, inside, lengths)) or regions([len(x) for x in texts])  # a page of nothing but links is text
     if not found:
         return ""
-    return "\n".join(x for x in texts[found[0][0] : found[-1][1]] if x)
+    return "\n".join(x for x in _chosen(texts, inside)[found[0][0] : found[-1][1]] if x)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -311,16 +311,25 @@ def _suffix_blocks(n_groups: int, n_buckets: int, window: int, seed: int):
 
 
 def _named(values: np.ndarray) -> tuple[np.ndarray, int]:
-    """Numbers from 0 for the distinct values, and how many there are."""
-    found, which = np.unique(values, return_inverse=True)
-    return which.astype(np.int64), len(found)
+    """Numbers from 0 for the distinct values, in their order, and how many there are."""
+    order = np.argsort(values)
+    ranked = values[order]
+    fresh = np.empty(len(values), bool)
+    fresh[:1] = True
+    np.not_equal(ranked[1:], ranked[:-1], out=fresh[1:])
+    del ranked
+    number = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    out = np.empty(len(values), np.int32)
+    out[order] = number
+    return out, int(number[-1]) + 1 if len(number) else 0
 
 
 def _extremes(node: np.ndarray, n: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each node, its smallest and its largest document."""
-    order = np.argsort(node, kind="stable")
-    starts = np.searchsorted(node[order], np.arange(n))
-    return np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts)
+    least, most = np.full(n, np.iinfo(doc.dtype).max, doc.dtype), np.full(n, np.iinfo(doc.dtype).min, doc.dtype)
+    np.minimum.at(least, node, doc)
+    np.maximum.at(most, node, doc)
+    return least, most
 
 
 def subtree(words: np.ndarray, base: np.ndarray, room: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -330,28 +339,29 @@ def subtree(words: np.ndarray, base: np.ndarray, room: np.ndarray, doc: np.ndarr
     A suffix starts at base in words, has room words and lies in doc. Suffixes have a window's words at least.
     """
     # names of ever longer prefixes: two of half the length, at last two that overlap
-    name, width = words.astype(np.int64), 1
+    name, width = words, 1
     while width < window:
         step = min(width, window - width)
-        name, _ = _named(name[:-step] * (int(name.max()) + 1) + name[step:]) if len(name) > step else (name, 0)
+        if len(name) > step:
+            name, _ = _named(name[:-step].astype(np.int64) * (int(name.max()) + 1) + name[step:])
         width += step
     node, n = _named(name[base])
+    del name
     least, most = _extremes(node, n, doc)
-    top = node
-    depth = np.where(least[node] < doc, window, 0)
+    top, roots = node, least
+    depth = np.where(least[node] < doc, np.int32(window), np.int32(0))
     at = np.flatnonzero((least < most)[node])
-    node, level, roots = node[at], window, least
+    node, level = node[at], window
     n_words = int(words.max()) + 1 if len(words) else 1
     while len(at):
         longer = room[at] > level
         at, node = at[longer], node[longer]
         if not len(at):
             break
-        node, n = _named(node * n_words + words[base[at] + level])
+        node, n = _named(node.astype(np.int64) * n_words + words[base[at] + level])
         level += 1
         least, most = _extremes(node, n, doc[at])
-        shared = least[node] < doc[at]
-        depth[at[shared]] = level
+        depth[at[least[node] < doc[at]]] = level
         alive = (least < most)[node]
         at, node = at[alive], node[alive]
     return depth, top, roots
@@ -371,41 +381,44 @@ def _subtrees(window: int, last: bool):
         for owner, blob in enumerate(rows.column("suffixes")):
             runs = Runs.unpacked(blob.as_py())
             words = runs.text.split()
-            ids.append(np.fromiter((number(w, len(known)) for w in words), np.int64, len(words)))
+            ids.append(np.fromiter((number(w, len(known)) for w in words), np.int32, len(words)))
             spans = runs.count + window - 1
             starts.append(at + np.cumsum(spans) - spans)
             at += len(words)
             counts.append(runs.count)
             docs.append(runs.doc)
             places.append(runs.place)
-            owners.append(np.full(len(spans), owner))
+            owners.append(np.full(len(spans), owner, np.int32))
+        del runs, words
         ids, starts, counts, docs, places, owners = (np.concatenate(x) for x in (ids, starts, counts, docs, places, owners))
-        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        base, place, doc, owner = np.repeat(starts, counts) + inside, np.repeat(places, counts) + inside, np.repeat(docs, counts), np.repeat(owners, counts)
-        depth, node, least = subtree(ids, base, np.repeat(counts, counts) - inside + window - 1, doc, window)
+        # of each suffix: its run, its number in the run, its start and its document's rank
+        run = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        inside = (np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+        base, doc = starts[run] + inside, _named(docs)[0][run]
+        depth, node, least = subtree(ids, base, counts.astype(np.int32)[run] - inside + np.int32(window - 1), doc, window)
         # a repeat that starts a word after one that reaches as far is not maximal
         maximal = depth > 0
         maximal[1:] &= ~((inside[1:] > 0) & (depth[:-1] > depth[1:]))
         hit = np.flatnonzero(maximal)
         chunks = rows.column("chunk").to_pylist()
         names, blobs = [], []
-        edges = np.searchsorted(owner[hit], np.arange(len(chunks) + 1))
+        edges = np.searchsorted(owners[run[hit]], np.arange(len(chunks) + 1))
         for i, name in enumerate(chunks):
             h = hit[edges[i] : edges[i + 1]]
             if len(h):
                 names.append(name)
-                blobs.append(_squeezed(np.stack([place[h], depth[h]]).astype("<i8").tobytes()))
+                blobs.append(_squeezed(np.stack([places[run[h]] + inside[h], depth[h]]).astype("<i8").tobytes()))
         cols = [names, blobs, *([None] * len(names) for _ in range(3))]
         bucket = rows.column("bucket")[0].as_py()
         if not last and bucket >= 0:
             smallest = np.flatnonzero(least[node] == doc)  # one of each node, or several of one repeated doc_id
             spell, grp = list(known), rows.column("grp")[0].as_py()
-            edges = np.searchsorted(owner[smallest], np.arange(len(chunks) + 1))
+            edges = np.searchsorted(owners[run[smallest]], np.arange(len(chunks) + 1))
             for i, name in enumerate(chunks):
                 s = smallest[edges[i] : edges[i + 1]]
                 if len(s):
                     text = b" ".join(spell[w] for b in base[s].tolist() for w in ids[b : b + window].tolist())
-                    row = name, None, grp, bucket // fan, Runs(place[s], np.ones(len(s), np.int64), doc[s], text).packed()
+                    row = name, None, grp, bucket // fan, Runs(places[run[s]] + inside[s], np.ones(len(s), np.int64), docs[run[s]], text).packed()
                     for col, x in zip(cols, row, strict=True):
                         col.append(x)
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]

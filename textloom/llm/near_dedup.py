@@ -44,7 +44,7 @@ WORDS, PERCENT = 5, 80
 SKETCH = 32
 #: Documents of a list, and shingles of a cluster, that one block may hold.
 LIST_BLOCK = 2048
-CLUSTER_BLOCK = 2_000_000
+CLUSTER_BLOCK = 500_000
 #: Frequent values that tasks are told of, at most: 8 MB.
 MAX_HOT = 1 << 20
 #: Documents of a list or cluster that join its blocks, about.

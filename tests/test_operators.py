@@ -1,7 +1,9 @@
 """DataFrame operators, sources, streams, SQL functions, the server and the command line."""
 
 import json
+import random
 import threading
+import time
 import urllib.error
 import urllib.request
 import zipfile
@@ -128,10 +130,14 @@ def test_jsonl(spark, tmp_path):
     again = [r.value for r in spark.read.text(out).withColumn("n", F.monotonically_increasing_id()).orderBy("n").collect()]
     made_ = records.LineCleaner(cleaner.RecordCleaner(("content",), cleaner.DEFAULT_RULES), True)
     assert sorted(again) == sorted(made_(i, x)["line"] for i, x in enumerate(raw, 1))
+    parts = [p.read_text(encoding="utf-8") for p in sorted((tmp_path / "in.cleaned.jsonl").glob("part-*"))]
+    assert len(parts) > 1 and "".join(parts).splitlines() == [made_(i, x)["line"] for i, x in enumerate(raw, 1)]
     check = jsonl.check_jsonl(spark, source, str(tmp_path / "qc"), failed_output=str(tmp_path / "failed"))
     assert check["stats"] == {"total": len(raw), "failed": 804, "passed": 400, "bad_json": 2, "issue_mojibake": 801, "issue_worker_error": 1} and check["issue_reasons"]["mojibake"] == 801
     assert spark.read.text(str(tmp_path / "in_filtered.jsonl")).count() == 400 and spark.read.text(str(tmp_path / "failed")).count() == 802
     assert jsonl.check_jsonl(spark, source, str(tmp_path / "qc2"), limit=5, write_passed=False)["stats"]["total"] == 5
+    assert "".join(p.read_text() for p in sorted((tmp_path / "in_filtered.jsonl").glob("part-*"))).splitlines() == [x for x in raw if '"fine"' in x]
+    assert not list((tmp_path / "qc").glob("_lines*")) and check["passed_output"].endswith("in_filtered.jsonl")
     dry = jsonl.clean_jsonl(spark, source, dry_run=True)
     assert dry["output"] == "" and dry["stats"]["changed_rows"] == 801
     with pytest.raises(ValueError):
@@ -139,6 +145,56 @@ def test_jsonl(spark, tmp_path):
     assert [*jsonl.stdin_lines([b"a\r\n", b"\xff\n"])] == ["a", "�"]
 
 
+def test_lines_stay_where_they_lie(spark, tmp_path):
+    """No line is shuffled: only what splits know is. Files of several sizes are out of order and sorted."""
+    (tmp_path / "in.jsonl").write_text("".join(f'{{"content": "{i}"}}\n' for i in range(3000)))
+    path = str(tmp_path / "in.jsonl")
+    done = jsonl.read_lines(spark, path).select(jsonl.cleaned_line(F.col("line_no"), F.col("raw"))["line"])
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange rangepartitioning" not in plan and "BroadcastHashJoin" in plan and jsonl.in_order(spark, path)
+    for name, n in (("a", 5), ("b", 900), ("c", 40)):
+        (tmp_path / f"x-{name}.jsonl").write_text("".join(f'{{"content": "{name}{i}"}}\n' for i in range(n)))
+    summary = jsonl.clean_jsonl(spark, str(tmp_path / "x-*.jsonl"), str(tmp_path / "many"))
+    assert summary["stats"] == {"total": 945} and summary["examples"] == summary["issue_rows"] == []
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "many").glob("part-*"))).splitlines()
+    assert lines == [f'{{"content": "{name}{i}"}}' for name, n in (("a", 5), ("b", 900), ("c", 40)) for i in range(n)]
+    empty = tmp_path / "empty.jsonl"
+    empty.write_text("")
+    assert jsonl.clean_jsonl(spark, str(empty))["stats"] == {} and jsonl.check_jsonl(spark, str(empty), str(tmp_path / "e"))["stats"] == {}
+
+
+def test_progress(spark, capsys):
+    from textloom.progress import Progress
+
+    with Progress(spark, 0.05):
+        spark.range(0, 400, 1, 8).rdd.mapPartitions(lambda x: (time.sleep(0.2), x)[1]).count()
+    told = capsys.readouterr().err
+    assert "[progress] tasks=" in told and "eta=" in told
+
+
+def test_standard_input(monkeypatch, capsys, tmp_path):
+    import io
+    import types
+
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(b'{"content": "a &amp; b"}\r\n{bad\n')))
+    assert command.run(command.parser().parse_args(["clean", "--input", "-", "--summary", str(tmp_path / "s.json")])) is None
+    assert capsys.readouterr().out == '{"content": "a  b"}\n{bad\n'
+    assert json.loads((tmp_path / "s.json").read_text())["stats"] == {"total": 2, "bad_json": 1, "changed_rows": 1}
+
+
+def test_long_texts_are_cut_in_one_scan(spark):
+    rnd = random.Random(2)
+    for n in (0, 1, 8_999, 9_000, 9_999, 10_000, 10_001, 27_500, 310_000, 801_000):
+        t = "".join(rnd.choices("ab \n😀é", k=n))
+        df = spark.createDataFrame([(1, t)], "i long, text string")
+        got = [(r.at, r.part) for r in subdup.chunks(df, "i").orderBy("chunk").collect()]
+        assert got == [(at, part) for at, part in subdup_kernel.chunks(t)]
+        lines = t.split("\n")
+        starts = [sum(len(x) + 1 for x in lines[:k]) for k in range(0, len(lines), max(1, len(lines) // 50))]
+        windows = {r.line_no: r.start for r in mojibake.windows(df, "i").collect()}
+        assert [windows[k] for k in range(0, len(lines), max(1, len(lines) // 50))] == starts and len(windows) == len(lines)
+
+
 def test_article_files(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/ars_1.jsonl").write_text('{"content":"<|start_of_articleid=1|>t…\\nx"}\n\n{"id":2}\n', encoding="utf-8")
@@ -193,13 +249,23 @@ def test_stream(spark, tmp_path):
     assert sorted(r.failed for r in seen) == [True, True]
 
 
-def test_sql_functions(spark):
+def test_sql_functions(spark, rows):
     names = registry.register(spark, "tl_")
-    assert len(names) == 16
-    row = spark.sql("select tl_clean_text('a&amp;b') a, tl_normalize_for_dedup('A 1') b, tl_delete_html_entities('&lt;x') c, tl_is_code('code::') d, tl_issue_type('a:b:c') e, tl_clean_text(null) f, tl_split_sentences('A b. Cd') g").first()
+    assert len(names) == len(set(names)) > 60
+    row = spark.sql("select tl_clean_text('a&amp;b') a, tl_normalize_for_dedup('A 1') b, tl_clean_html_entity('&lt;x') c, tl_is_code('code::') d, tl_issue_type('a:b:c') e, tl_clean_text(null) f, tl_split_sentences('A b. Cd') g").first()
     assert tuple(row) == ("ab", "a 0", "x", True, "a", None, ["A b.", "Cd"])
     spans = spark.sql("select * from tl_rule_spans('x &amp; y', 'html_entity')").collect()
     assert [tuple(r) for r in spans] == [("html_entity", 2, 7, "delete", ["matched"])]
+    row = spark.sql("select tl_check_text('x &amp; y', 'en').issue_types a, tl_repeated_passages(repeat('foo bar ', 5), 'en')[0].repeats b, tl_clean_text_by('a&amp;b<br>', 'html_entity') c, tl_char_infos('é')[0].name d, tl_repetition_reasons(repeat('ha ', 100))[0] e").first()
+    assert (row.a, row.b, row.c, row.d) == (["mojibake"], 5, "ab<br>", "LATIN SMALL LETTER E WITH ACUTE") and "10gram" in row.e
+    assert {r.name for r in spark.sql("select name from tl_textloom_rules where kind = 'rule' and not by_default").collect()} == {"combining_decoration", "exotic_combining"}
+    # native functions say what the column forms say, and stay native
+    rows.createOrReplaceTempView("tl_rows")
+    native = registry.native_functions()
+    some = ["clean_emoji_all", "clean_pua_contextual", "clean_combining_decoration", "mojibake_pua", "mojibake_math_symbol_flood", "remove_unprintable", "remove_punctuation", "text_language", "replace_unicode_punct"]
+    told = spark.sql(f"select {', '.join(f'tl_{n}(text) {n}' for n in some)} from tl_rows")
+    assert "Python" not in told._jdf.queryExecution().executedPlan().toString() and "Arrow" not in told._jdf.queryExecution().executedPlan().toString()
+    assert told.collect() == rows.select(*[native[n](F.col("text")).alias(n) for n in some]).collect()
 
 
 def test_server():

@@ -24,13 +24,17 @@ def kernel(fn: Callable, returns: str) -> Callable[..., Column]:
         values = [c.to_pylist() for c in columns]
         return pa.array([None if row[0] is None else fn(*row) for row in zip(*values)], type=arrow)
 
-    def call(*columns: Column) -> Column:
+    def udf(n: int):
         nonlocal kind, arrow
         if kind is None:
             kind = _parse_datatype_string(returns)
             arrow = to_arrow_type(kind)
-        return F.arrow_udf(_with_arity(batch, len(columns)), returnType=kind)(*columns)
+        return F.arrow_udf(_with_arity(batch, n), returnType=kind)
+
+    def call(*columns: Column) -> Column:
+        return udf(len(columns))(*columns)
 
+    call.udf = udf  # the function of so many columns, to be registered for SQL
     return call
 
 

@@ -44,13 +44,27 @@ def rule_counts(df: DataFrame, key: str, column: str = "text", rules: tuple[str,
     return rows.select(F.col("_key").alias(key), *made)
 
 
+#: Lines beyond which their starts are found by a scan outside the JVM.
+MANY_LINES = 500
+
+
+def line_starts(text: str) -> list[int]:
+    out, at = [0], text.find("\n")
+    while at >= 0:
+        out.append(at + 1)
+        at = text.find("\n", at + 1)
+    return out
+
+
 def windows(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     """key, line_no (from 0), start and end offset and text of every line, its line end included."""
-    lines = F.split(held(F.col(f"`{column}`")), "\n", -1)
-    rows = df.select(F.col(f"`{key}`").alias("_key"), lines.alias("_lines"))
-    # a line's start is the length of all before it and their line ends; one pass a document
+    text = held(F.col(f"`{column}`"))
+    rows = df.select(F.col(f"`{key}`").alias("_key"), text.alias("_text"), F.split(text, "\n", -1).alias("_lines"))
+    # a line's start is the length of all before it and their line ends: natively for texts of few lines, as each step copies an array, else by one scan
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate("_lines", begin, lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")), lambda a: a["starts"])
+    native_starts = F.aggregate("_lines", begin, lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")), lambda a: a["starts"])
+    many = F.size("_lines") > MANY_LINES
+    starts = F.coalesce(kernel(line_starts, "array<int>")(F.when(many, F.col("_text"))), F.when(~many, native_starts))
     rows = rows.select("_key", F.posexplode(F.arrays_zip(F.col("_lines").alias("line"), starts.alias("start"))).alias("line_no", "_x"), F.size("_lines").alias("_n"))
     whole = F.when(F.col("line_no") + 1 < F.col("_n"), F.concat(F.col("_x.line"), F.lit("\n"))).otherwise(F.col("_x.line"))
     return rows.select(F.col("_key").alias(key), "line_no", F.col("_x.start").alias("start"), (F.col("_x.start") + F.length(whole)).alias("end"), whole.alias("window"))

@@ -27,9 +27,15 @@ def _row(f: dict) -> dict:
 def chunks(df: DataFrame, key: str, column: str = "text", lang: Column | None = None) -> DataFrame:
     """key, lang, chunk (from 0), at and part of every chunk."""
     text = F.col(f"`{column}`")
-    rows = df.select(F.col(f"`{key}`").alias("_key"), (language(text) if lang is None else lang).alias("lang"), text.alias("_text"), chunk_size(text).alias("_size"), chunk_starts(text).alias("_starts"))
-    rows = rows.select("_key", "lang", "_text", "_size", F.posexplode("_starts").alias("chunk", "at"))
-    return rows.select(F.col("_key").alias(key), "lang", "chunk", "at", F.expr("substring(_text, at + 1, _size)").alias("part"))
+    starts = chunk_starts(text)
+    size, step = chunk_size(text), F.coalesce(F.get(starts, F.lit(1)), F.length(text))
+    rows = df.select(F.col(f"`{key}`").alias("_key"), (language(text) if lang is None else lang).alias("lang"), text.alias("_text"), size.alias("_size"), F.greatest(step, F.lit(1)).alias("_step"))
+    # one scan cuts a text into steps; a chunk is a step and, where chunks overlap, the beginning of the next one
+    pieces = F.regexp_extract_all("_text", F.concat(F.lit("(?s).{1,"), F.col("_step").cast("string"), F.lit("}")), F.lit(0))
+    rows = rows.select("_key", "lang", "_size", "_step", pieces.alias("_p"))
+    whole = F.transform("_p", lambda p, i: F.concat(p, F.substring(F.coalesce(F.get("_p", i + 1), F.lit("")), F.lit(1), F.greatest(F.col("_size") - F.col("_step"), F.lit(0)))))
+    rows = rows.select("_key", "lang", "_step", F.posexplode(whole).alias("chunk", "part"))
+    return rows.select(F.col("_key").alias(key), "lang", "chunk", (F.col("chunk") * F.col("_step")).alias("at"), "part")
 
 
 def found_in(part: Column, lang: Column) -> Column:

@@ -38,3 +38,18 @@ def write_summary(summary: dict, path: str | None) -> None:
         os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
         with open(path, "w", encoding="utf-8") as out:
             out.write(json.dumps(summary, ensure_ascii=False, indent=2) + "\n")
+
+
+def move_folder(spark, source: str, target: str | None) -> None:
+    """Put a folder in another's place; one that isn't there leaves an empty folder, and no target only deletes it."""
+    conf, make = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    old = make(source)
+    system = old.getFileSystem(conf)
+    if target is None:
+        system.delete(old, True)
+        return
+    new = make(target)
+    system.delete(new, True)
+    system.mkdirs(new.getParent())
+    if not (system.exists(old) and system.rename(old, new)):
+        system.mkdirs(new)

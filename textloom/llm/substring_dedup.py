@@ -60,8 +60,8 @@ MAX_RUN = 64
 FAN = 4096
 
 
-def _squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def _squeezed(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _restored(blob: bytes) -> bytes:
@@ -86,7 +86,7 @@ class Chunk:
 
     def packed(self) -> bytes:
         sizes = np.array([len(t) for t in self.texts], "<i8")
-        return struct.pack("<qq", len(self.ids), self.n_null) + _squeezed(self.ids.astype("<i8").tobytes() + sizes.tobytes() + b"".join(self.texts))
+        return struct.pack("<qq", len(self.ids), self.n_null) + _squeezed(self.ids.astype("<i8").tobytes() + sizes.tobytes() + b"".join(self.texts), 3)  # written and shuffled: worth a closer look
 
     @classmethod
     def unpacked(cls, blob: bytes) -> Chunk:

@@ -35,6 +35,9 @@ NOISES: dict[str, Noise] = {
     "pua": (("j", "j\ue123"),),
     "specials": (("k", "k\ufff9"),),
     "seq": (("w", "w\u00e4\u00b8"), ("b", "\u951b\u9428b")),
+    "cscn": (("v", "v\u0378"), ("\n", "\n\U000e0fff")),
+    # ten, eight and seven of a kind: the last is no flood
+    "flood": ((" de ", " ========== "), (" the ", " |||||||| "), (" und ", " +++++++ ")),
     "control_format_flood": (("g", "g\u2062"),),
     "code": ((" code", " code::"), (". ", ". ```")),
     "han": ((" p", " 一个"),),

@@ -11,9 +11,10 @@ import unicodedata
 from .. import charsets as cs
 from ..functions.cleaning import owned
 from ..kernels import textops
+from ..kernels.cleaner import PREVIEW
 from ..kernels.mojibake import RULES, THRESHOLDS, classes
 from .noise import literal, noisy_sql
-from .queries import MOJIBAKE_NOISE, NOISY_RULES
+from .queries import ALL_NOISE, MOJIBAKE_NOISE, NOISY_RULES
 
 SPACE, DIGITS = r"[\s\x{0B}]", "[0-9]"
 
@@ -79,6 +80,28 @@ ORACLES |= {
     + "regexp_replace({}, '\\n{{3,}}', chr(10) || chr(10), 'g') AS c FROM pages)".format(swapped(removed(removed("html", "|".join(s.replace("|", r"\|") for s in cs.FORBIDDEN_STRINGS)), cs.HTML_ENTITY), r"[ \t]+(\n|$)", r"\1")),
 }
 
+_TAKEN_TURNS = "b"
+for _rule in ("html_entity", "math_symbol_flood", "decorative_combining", "pua_known_noise", "control_invisible", "bidi_control", "decorative_symbol", "line_separator", "abnormal_space", "line_boundary_space", "blank_line_collapse"):
+    _TAKEN_TURNS = RULE_SQL[_rule].replace("(b,", f"({_TAKEN_TURNS},", 1)
+ORACLES["clean_all_rules"] = digest("documents", "doc_id", noisy_sql("text", *ALL_NOISE), _TAKEN_TURNS)
+
+
+def _spans(rule: str, pattern: str) -> str:
+    """The stretches of one rule's matches on pages, with what they hold."""
+    return f"""SELECT page_id, '{rule}' AS rule, min(stop - size)::BIGINT AS start, max(stop)::BIGINT AS "end", sum(size)::BIGINT AS count, string_agg(found, '' ORDER BY i) AS found FROM (
+        SELECT page_id, i, found, size, sum(gap + size) OVER (PARTITION BY page_id ORDER BY i) AS stop, sum(CASE WHEN gap > 0 OR i = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS island FROM (
+        SELECT page_id, i, f[i] AS found, length(f[i]) AS size, length(gaps[i]) AS gap FROM (SELECT page_id, f, gaps, unnest(range(1, len(f) + 1)) AS i FROM (
+        SELECT page_id, regexp_extract_all(html, {literal(pattern)}) AS f, string_split_regex(html, {literal(pattern)}) AS gaps FROM pages)))) GROUP BY page_id, island"""
+
+
+_FORBIDDEN = "|".join(s.replace("|", r"\|") for s in cs.FORBIDDEN_STRINGS)
+
+
+def _page(text: str) -> str:
+    """A cleaned page."""
+    return swapped(swapped(removed(removed(text, _FORBIDDEN), cs.HTML_ENTITY), r"[ \t]+(\n|$)", r"\1"), r"\n{3,}", "\n\n")
+
+
 _E, _F = f"length({removed('html', cs.HTML_ENTITY)})", f"length({RULE_SQL['forbidden_strings'].replace('(b,', '(html,', 1)})"
 ORACLES |= {
     "flagship": f"""SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS n_pages, sum(length(html))::BIGINT AS n_chars, sum(length(html) - {_E})::BIGINT AS n_entity,
@@ -98,6 +121,12 @@ ORACLES |= {
         SELECT 'html_entity' AS rule, printf('U+%04X', unicode(ch)) AS codepoint, count(*)::BIGINT AS n FROM c WHERE ch <> '' GROUP BY 2""",
 }
 
+ORACLES["provenance"] = f"""WITH s AS ({_spans("html_entity", cs.HTML_ENTITY)} UNION ALL {_spans("forbidden_strings", _FORBIDDEN)}),
+    c AS (SELECT page_id, rule, start, ch, count(*) AS n, min(i) AS first FROM (SELECT page_id, rule, start, unnest(string_split(found, '')) AS ch, unnest(range(0, length(found))) AS i FROM s) GROUP BY ALL),
+    j AS (SELECT page_id, rule, start, '{{' || string_agg(printf('"U+%04X":%d', unicode(ch), n), ',' ORDER BY first) || '}}' AS codepoints FROM c GROUP BY page_id, rule, start)
+    SELECT page_id, rule, start, "end", count, 'delete' AS action, CASE WHEN length(found) <= {PREVIEW} THEN found ELSE left(found, {PREVIEW // 2}) || '...' || right(found, {PREVIEW // 2}) END AS original_preview,
+    '' AS replacement_preview, codepoints, 'matched' AS reasons FROM s JOIN j USING (page_id, rule, start)"""
+
 # ---- mojibake ----
 
 
@@ -117,6 +146,8 @@ def _class_counts() -> str:
     return f"SELECT doc_id, {', '.join(parts)} FROM (SELECT doc_id, t, {shown} AS shown FROM (SELECT doc_id, {noisy_sql('text', *MOJIBAKE_NOISE)} AS t FROM documents))"
 
 
+_UNASSIGNED = cs.java_class(cs.minus(cs.UCD.unassigned, ((0xD800, 0xDFFF),)))
+_LONG_FLOODS = _FLOODS.replace("{4,}", "{8,}")
 _GARBLED, _PAIR = "|".join(cs.GARBLED), f"[{cs.GARBLED_PAIR}]"
 
 
@@ -124,7 +155,36 @@ def _covered(text: str, pattern: str) -> str:
     return f"length(array_to_string(regexp_extract_all({text}, {literal(pattern)}), ''))"
 
 
+def _full_report() -> str:
+    """Counts of every rule on every line; rules with a threshold count over the whole text first."""
+    n = lambda text, pattern: f"len(regexp_extract_all({text}, {literal(pattern)}))"
+    count, whole = {}, {}
+    for rule in RULES:
+        if rule in classes():
+            pattern = _UNASSIGNED if rule == "cscn" else cs.java_class(classes()[rule])
+            count[rule], whole[rule] = _hits("line", pattern), _hits("t", pattern)
+        elif rule == "seq":
+            count[rule] = f"{_covered('line', _GARBLED)} + CASE WHEN len(list_distinct(regexp_extract_all(line, {literal(_PAIR)}))) > 1 THEN {n(removed('line', _GARBLED), _PAIR)} ELSE 0 END"
+            whole[rule] = "1"
+        elif rule == "double_enc":
+            count[rule], whole[rule] = (" + ".join(f(x, p) for p in cs.DOUBLE_ENCODED) for f, x in ((_covered, "line"), (n, "t")))
+        else:
+            pattern = {"cp1252": cs.CP1252, "html_entity": cs.HTML_ENTITY, "math_symbol_flood": _LONG_FLOODS}[rule]
+            count[rule], whole[rule] = _covered("line", pattern), n("t", pattern)
+    least = {r: 1 if r == "math_symbol_flood" else THRESHOLDS.get(r, 1) for r in RULES}
+    told = ", ".join(f"CASE WHEN {r}_on AND {r} > 0 THEN '{r}=' || {r} END" for r in RULES)
+    return f"""WITH d AS (SELECT doc_id, {noisy_sql("text", *MOJIBAKE_NOISE)} AS t FROM documents),
+        a AS (SELECT doc_id, string_split(t, chr(10)) AS l, {", ".join(f"({w}) >= {least[r]} AS {r}_on" for r, w in whole.items())} FROM d),
+        x AS (SELECT * EXCLUDE (l), unnest(l) AS line, unnest(range(0, len(l))) AS line_no, len(l) AS n FROM a),
+        o AS (SELECT *, length(line) + CASE WHEN line_no + 1 < n THEN 1 ELSE 0 END AS size FROM x),
+        h AS (SELECT doc_id, size, sum(size) OVER (PARTITION BY doc_id ORDER BY line_no) AS stop, line, {", ".join(f"({c})::BIGINT AS {r}" for r, c in count.items())}, {", ".join(f"{r}_on" for r in RULES)} FROM o),
+        r AS (SELECT doc_id, stop - size AS start, stop, concat_ws(',', {told}) AS rules FROM h WHERE length({removed("line", cs.java_class(cs.PY_SPACE))}) > 0)
+        SELECT doc_id, start::BIGINT AS start, stop::BIGINT AS "end", rules FROM r WHERE rules <> ''"""
+
+
 ORACLES |= {
+    "moji_full_report": _full_report(),
+    "moji_floods": f"SELECT doc_id, {_hits('shown', _UNASSIGNED)}::BIGINT AS cscn, {_covered('t', _LONG_FLOODS)}::BIGINT AS math_symbol_flood FROM (SELECT doc_id, t, array_to_string(list_filter(string_split(t, chr(10)), lambda x: length({removed('x', cs.java_class(cs.PY_SPACE))}) > 0), chr(10)) AS shown FROM (SELECT doc_id, {noisy_sql('text', 'flood', 'cscn')} AS t FROM documents))",
     "moji_class_counts": _class_counts(),
     "moji_patterns": f"""WITH d AS (SELECT doc_id, {noisy_sql("text", "seq", "double_enc")} AS t FROM documents),
         l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d),
@@ -191,6 +251,30 @@ def _enum_lines(text: str) -> str:
 _RUNAWAY = "(n_chars >= 100 AND n_lines >= 20 AND (longest >= 30 OR (marked >= 20 AND marked / n_lines >= 0.5)))"
 _WORDS = f"list_filter(string_split_regex(text, {literal(SPACE + '+')}), lambda x: x <> '')"
 
+def _top_grams(n: int) -> str:
+    """CTE s<n>: key, totals and the first seen of the most frequent n-grams."""
+    return f"""s{n} AS (SELECT key, sum(n) AS total, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS repeated, arg_max(gram, (n, -first)) AS gram, max(n) AS top_count FROM (
+        SELECT key, gram, count(*) AS n, min(i) AS first FROM (SELECT key, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: list_slice(w, i, i + {n - 1}))) AS gram, unnest(range(1, len(w) - {n - 2})) AS i FROM t WHERE len(w) >= {3 * n})
+        GROUP BY key, gram) GROUP BY key)"""
+
+
+_GRAM_SHARE = {10: 0.75, 5: 0.85}
+_FOUND_GRAMS = " UNION ALL ".join(f"SELECT key, {n} AS size, total, repeated, array_to_string(gram[:8], ' ') || '...' AS top, top_count FROM s{n} WHERE repeated / total > {share}" for n, share in _GRAM_SHARE.items())
+ORACLES["repetition_findings"] = f"""WITH {_measures("documents", "doc_id")}, {_enum_lines("text")}, {_top_grams(10)}, {_top_grams(5)}, grams AS ({_FOUND_GRAMS}),
+    best AS (SELECT grams.* FROM grams JOIN m ON m.key = grams.key WHERE n_chars >= 200 AND n_visible >= 200 QUALIFY row_number() OVER (PARTITION BY grams.key ORDER BY size DESC) = 1),
+    q AS (SELECT key, size || 'gram' AS kind, repeated::BIGINT AS repeated, total::BIGINT AS total, top, top_count::BIGINT AS top_count,
+        printf('repetition_ngram:%dgram msg[0] ratio=%.2f repeated=%d/%d top=''%s'' x%d', size, repeated / total, repeated::BIGINT, total::BIGINT, top, top_count) AS reason FROM best
+        UNION ALL SELECT m.key, 'token_flood', top_token_count, n_tokens, left(top_token, 20), top_token_count,
+        printf('repetition_ngram:token_flood msg[0] token=''%s'' ratio=%.2f (%d/%d tokens)', left(top_token, 20), top_token_count / n_tokens, top_token_count, n_tokens) FROM m JOIN top ON top.key = m.key WHERE {_FLOOD}
+        UNION ALL SELECT e.doc_id, CASE WHEN longest >= 30 THEN 'enum_lines' ELSE 'enum_share' END, marked, n_lines, NULL, longest,
+        CASE WHEN longest >= 30 THEN printf('repetition_ngram:runaway_enum msg[0] consecutive=%d total_enum=%d/%d lines', longest, marked, n_lines)
+        ELSE printf('repetition_ngram:runaway_enum msg[0] ratio=%.2f (%d/%d lines)', marked / n_lines, marked, n_lines) END FROM e JOIN d USING (doc_id) WHERE {_RUNAWAY})
+    SELECT key AS doc_id, kind, repeated, total, top, top_count, reason FROM q"""
+ORACLES["check_run"] = f"""WITH {_measures("documents", "doc_id")}, {_enum_lines("text")},
+    q AS (SELECT m.key AS doc_id, flagged OR {_FLOOD.replace("n_chars", "m.n_chars")} OR {_RUNAWAY.replace("n_chars", "m.n_chars")} AS failed FROM m LEFT JOIN top ON top.key = m.key JOIN e ON e.doc_id = m.key)
+    SELECT CASE WHEN failed THEN 'failed' ELSE 'passed' END AS sink, doc_id, md5(text) AS text_md5 FROM q JOIN documents USING (doc_id) WHERE doc_id % 50 <> 7
+    UNION ALL SELECT 'bad_json', count(*), '' FROM documents WHERE doc_id % 50 = 7"""
+
 ORACLES |= {
     "token_count": f"SELECT doc_id, len({_tokens('text')})::BIGINT AS n_tokens FROM documents",
     **{
@@ -227,6 +311,10 @@ ORACLES |= {
         p AS (SELECT conv_id, turn, n, floor((n + m) / 4)::BIGINT AS s, ceil((n + m) * 3 / 4)::BIGINT AS e FROM a JOIN b USING (conv_id, turn))
         SELECT conv_id, turn, CASE WHEN s < n THEN 'src' ELSE 'tgt' END AS start_in, (CASE WHEN s = n THEN 0 WHEN s < n THEN s ELSE s - n - 1 END)::BIGINT AS start,
         CASE WHEN e - 1 <= n THEN 'src' ELSE 'tgt' END AS end_in, (CASE WHEN e - 1 = n THEN n WHEN e - 1 < n THEN e ELSE e - n - 1 END)::BIGINT AS "end" FROM p""",
+    "pair_spans": """WITH a AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn - 1 AS turn, length(text) AS m FROM conversations WHERE role = 'assistant'),
+        p AS (SELECT conv_id, turn, n, m, floor((n + m) / 4)::BIGINT AS s, ceil((n + m) * 3 / 4)::BIGINT AS e FROM a JOIN b USING (conv_id, turn))
+        SELECT conv_id, turn, 'src' AS side, s AS start, least(e, n)::BIGINT AS "end" FROM p WHERE s < n
+        UNION ALL SELECT conv_id, turn, 'tgt', greatest(s - n - 1, 0)::BIGINT, (e - n - 1)::BIGINT FROM p WHERE e > n + 1""",
 }
 
 # ---- text functions ----
@@ -257,7 +345,18 @@ def _multi(text: str) -> str:
     return text
 
 
+def _spaced(text: str) -> str:
+    put = lambda t, table: t if not table else put(f"replace({t}, {literal(table[0][0])}, {literal(table[0][1])})", table[1:])
+    text = swapped(put(text, textops.SPACING_FIRST), r"\) ([.!:?;,])", r"\\)\1")
+    text = swapped(put(text, textops.SPACING_BRACKETS), "([0-9]) %", r"\1\\%")
+    text = put(put(text, textops.SPACING_STOPS), textops.SPACING_QUOTES)
+    return swapped(swapped(text, '"([,.]+)', r"\1\\" + '"'), "([0-9]) ([0-9])", r"\1.\2")
+
+
+_NORMAL = removed(_multi(f"translate({swapped(f'strip_accents(lower({_shown("text")}))', '[0-9]', '0')}, {literal(''.join(_SINGLE))}, {literal(''.join(_SINGLE.values()))})"), _CONTROL)
+
 ORACLES |= {
+    "text_kernels": f"SELECT doc_id, md5(strip_accents(text)) AS accents_md5, md5({_NORMAL}) AS normal_md5, md5({_spaced('text')}) AS spaced_md5 FROM documents",
     "lang_route": f"SELECT doc_id, {_TOLD.format(_GUESS)} AS told, {_GUESS} AS guessed FROM (SELECT doc_id, lang, {noisy_sql('text', 'han')} AS t FROM documents)",
     "has_script": rf"SELECT doc_id, regexp_matches(t, '[A-Za-z]') AS latin, regexp_matches(t, '{_HAN}') AS han, len(regexp_extract_all(t, '[\x{{4E00}}-\x{{9FA5}}]'))::BIGINT AS n_han FROM (SELECT doc_id, {noisy_sql('text', 'han')} AS t FROM documents)",
     "excerpts": """WITH d AS (SELECT doc_id, text, regexp_extract(text, '[0-9]+') AS number, length(regexp_extract(text, '^[^0-9]*')) AS s FROM documents WHERE regexp_matches(text, '[0-9]')),
@@ -279,7 +378,13 @@ ORACLES |= {
     "article_titles": """WITH t AS (SELECT conv_id, string_agg(regexp_replace(text, '\\n\\n+', chr(10), 'g') || chr(10) || chr(10) || 'someone wrote:' || chr(10) || regexp_replace(text, '\\n\\n+', chr(10), 'g'), chr(10) || chr(10) ORDER BY turn) AS c FROM conversations GROUP BY conv_id),
         o AS (SELECT conv_id, '<|start_of_articleid=' || conv_id || '|>Body' || chr(10) || '<|start_of_comment_articleid=' || conv_id || '|>' || c || '<|end_of_comment_articleid=' || conv_id || '|>' AS o FROM t)
         SELECT conv_id, length(o)::BIGINT AS n_chars, md5(o) AS out_md5 FROM o""",
-    "clean_then_check": "SELECT FALSE AS failed, count(*) AS n_pages FROM pages HAVING count(*) > 0",
+    # replacement characters stay in a cleaned page; whatever else the check looks for, these pages do not hold
+    "clean_then_check": f"""SELECT failed, count(*) AS n_pages, sum(page_id)::BIGINT AS ids FROM (SELECT page_id, regexp_matches({_page("t")}, {literal("|".join([chr(0xFFFD), cs.HTML_ENTITY, _LONG_FLOODS]))}) AS failed
+        FROM (SELECT page_id, {noisy_sql("html", "fffd")} AS t FROM pages)) GROUP BY failed""",
+    "clean_run": f"""WITH p AS (SELECT page_id, length(html) - {_E} AS e, length(html) - {_F} AS f, length({removed(removed("html", _FORBIDDEN), cs.HTML_ENTITY)}) AS n FROM pages)
+        SELECT 'page' AS kind, page_id::VARCHAR AS name, n::BIGINT AS n FROM p UNION ALL SELECT 'stat', 'total', count(*) FROM p UNION ALL SELECT 'stat', 'changed_rows', count(*) FROM p WHERE e + f > 0
+        UNION ALL SELECT 'stat', 'changed_fields', count(*) FROM p WHERE e + f > 0 UNION ALL SELECT 'stat', 'changed_chars', sum(e + f)::BIGINT FROM p
+        UNION ALL SELECT 'stat', 'changed_html_entity', sum(e)::BIGINT FROM p UNION ALL SELECT 'stat', 'changed_forbidden_strings', sum(f)::BIGINT FROM p""",
     "jsonl_round_trip": f"""WITH c AS (SELECT page_id, html, {removed(removed("html", "|".join(s.replace("|", chr(92) + "|") for s in cs.FORBIDDEN_STRINGS)), cs.HTML_ENTITY)} AS c FROM pages),
         e AS (SELECT page_id, html, regexp_replace({swapped("c", r"[ \t]+(\n|$)", r"\1")}, '\\n{{3,}}', chr(10) || chr(10), 'g') AS e FROM c)
         SELECT page_id, TRUE AS same_line, (length(html) - length(e))::BIGINT AS change_count, length(e)::BIGINT AS n_after FROM e""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +14,9 @@ from ..functions import basics, cleaning, text
 from ..functions import mojibake as native_mojibake
 from ..functions import repetition as native_repetition
 from ..kernels import repetition as repetition_kernel
+from ..kernels import subdup as subdup_kernel
 from ..operators import article, clean, mojibake, quality, repetition, stats, subdup
+from ..operators.kernel_udfs import kernel
 from .noise import NOISES, noisy
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +40,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a local session without one has a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
@@ -76,6 +79,10 @@ def clean_hex_wrapped(spark: SparkSession, sf: str) -> DataFrame:
     return digest(documents(spark, sf), "doc_id", made, clean.cleaning(F.col("_before"), "hex_blob")["cleaned"])
 
 
+#: Whole tokens first, so that characters put in later do not break them.
+ALL_NOISE = ("control_invisible", "bidi_control", "abnormal_space", "pua_known_noise", "decorative_symbol", "decorative_combining", "line_separator", "html_entity", "math_symbol_flood")
+
+
 def clean_text_full(spark: SparkSession, sf: str) -> DataFrame:
     """All default rules at once, on documents with every kind of noise."""
     kinds = [n for n in cleaning.RULES if n in NOISES and n not in ("combining_decoration", "exotic_combining")]
@@ -84,6 +91,13 @@ def clean_text_full(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", F.md5("cleaning.cleaned").alias("cleaned_md5"), F.col("cleaning.change_count").cast("long").alias("n_changes"), F.size("cleaning.rule_counts").cast("long").alias("n_rules"))
 
 
+def clean_all_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleaner under all default rules on documents with nine kinds of noise, whose rules take turns on a text."""
+    rows = documents(spark, sf).select("doc_id", noisy(F.col("text"), *ALL_NOISE).alias("text"))
+    made = clean.with_cleaning(rows, "text", detail="none")
+    return made.select("doc_id", F.length("text").cast("long").alias("n_before"), F.length("cleaning.cleaned").cast("long").alias("n_after"), F.md5("cleaning.cleaned").alias("cleaned_md5"))
+
+
 def clean_pages(spark: SparkSession, sf: str) -> DataFrame:
     """The cleaner's default rules on pages: entities and markup residues go, then line ends and blank lines are mended."""
     made = clean.with_cleaning(table(spark, sf, "pages"), "html", detail="none")
@@ -132,6 +146,12 @@ def moji_patterns(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.rule_counts(rows, "doc_id", rules=("seq", "double_enc", "cp1252"))
 
 
+def moji_floods(spark: SparkSession, sf: str) -> DataFrame:
+    """Unassigned code points, and floods of one symbol."""
+    rows = documents(spark, sf).select("doc_id", noisy(F.col("text"), "flood", "cscn").alias("text"))
+    return mojibake.rule_counts(rows, "doc_id", rules=("cscn", "math_symbol_flood"))
+
+
 def moji_html_entity(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.rule_counts(table(spark, sf, "pages"), "page_id", "html", ("html_entity",))
 
@@ -235,24 +255,35 @@ def subdedup_cut(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-def pair_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    """Findings of a question and its answer, joined by one character, as offsets in either."""
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions and their answers: lengths, and a span of both."""
     turns = table(spark, sf, "conversations")
     ask = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("ask"), F.col("text").alias("source"))
     answer = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("ask"), F.col("text").alias("target"))
     pairs = ask.join(answer, ["conv_id", "ask"]).select("conv_id", "ask", F.length("source").alias("n"), F.length("target").alias("m"))
     # where the middle half of the joined text lies
-    start, end = F.floor((F.col("n") + F.col("m")) / 4), F.ceil((F.col("n") + F.col("m")) * 3 / 4)
-    pairs = pairs.withColumns({"start": start, "end": end})
-    inside = lambda at: F.when(F.col(at) < F.col("n"), F.col(at)).otherwise(F.col(at) - F.col("n") - 1)
-    return pairs.select(
-        "conv_id",
-        F.col("ask").alias("turn"),
-        F.when(F.col("start") < F.col("n"), "src").otherwise("tgt").alias("start_in"),
-        F.when(F.col("start") == F.col("n"), 0).otherwise(inside("start")).cast("long").alias("start"),
-        F.when(F.col("end") - 1 <= F.col("n"), "src").otherwise("tgt").alias("end_in"),
-        F.when(F.col("end") - 1 == F.col("n"), F.col("n")).when(F.col("end") - 1 < F.col("n"), F.col("end")).otherwise(F.col("end") - F.col("n") - 1).cast("long").alias("end"),
-    )
+    return pairs.withColumns({"start": F.floor((F.col("n") + F.col("m")) / 4), "end": F.ceil((F.col("n") + F.col("m")) * 3 / 4)})
+
+
+def pair_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the middle half of a question and its answer, joined by one character, begins and ends, as offsets in either."""
+
+    def ends(p: dict) -> dict:
+        (a, a_source), (b, b_source) = subdup_kernel.pair_position(p["start"], p["n"], True), subdup_kernel.pair_position(p["end"] - 1, p["n"], False)
+        return {"start_in": "src" if a_source else "tgt", "start": a, "end_in": "src" if b_source else "tgt", "end": b + 1}
+
+    made = kernel(ends, "struct<start_in:string,start:long,end_in:string,end:long>")(F.struct("n", "m", "start", "end"))
+    return _pairs(spark, sf).select("conv_id", F.col("ask").alias("turn"), made.alias("p")).select("conv_id", "turn", "p.*")
+
+
+def pair_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The same middle half as one span of either text, or as one of each."""
+
+    def parts(p: dict) -> list[dict]:
+        return [{"side": side, "start": a, "end": b} for (a, b), side in subdup_kernel.pair_span(False, p["n"], p["m"], p["start"], p["end"])]
+
+    made = kernel(parts, "array<struct<side:string,start:long,end:long>>")(F.struct("n", "m", "start", "end"))
+    return _pairs(spark, sf).select("conv_id", F.col("ask").alias("turn"), F.inline(made))
 
 
 # ---- text functions ----
@@ -292,7 +323,6 @@ def excerpts(spark: SparkSession, sf: str) -> DataFrame:
 def text_kernels(spark: SparkSession, sf: str) -> DataFrame:
     """Functions that need Unicode tables: accents, full normal forms, tokenizer spacing."""
     from ..kernels import textops
-    from ..operators.kernel_udfs import kernel
 
     made = kernel(lambda t: {"accents": textops.strip_accents(t), "normal": textops.normalize(t), "spaced": textops.normalize_spacing_for_tok(t)}, "struct<accents:string,normal:string,spaced:string>")
     rows = documents(spark, sf).select("doc_id", made(F.col("text")).alias("k"))
@@ -347,9 +377,10 @@ def issue_types(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean_then_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Reports on the cleaned pages: what the cleaner leaves passes the mojibake check."""
-    rows = quality.reports(clean.clean(table(spark, sf, "pages"), "html"), "html", checks="mojibake")
-    return rows.groupBy("failed").agg(F.count("*").alias("n_pages"))
+    """The mojibake check on cleaned pages, some of which hold replacement characters, that the cleaner leaves."""
+    rows = table(spark, sf, "pages").select("page_id", noisy(F.col("html"), "fffd").alias("html"))
+    checked = quality.reports(clean.clean(rows, "html"), "html", checks="mojibake")
+    return checked.groupBy("failed").agg(F.count("*").alias("n_pages"), F.sum("page_id").alias("ids"))
 
 
 # ---- sources and streams ----
@@ -369,6 +400,32 @@ def jsonl_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("r.page_id", (F.col("line_no") == told["line_no"]).alias("same_line"), told["change_count"].alias("change_count"), F.length("r.content").cast("long").alias("n_after"))
 
 
+def check_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A check run over lines of JSON, some of them broken: what its sinks hold, each line once."""
+    from ..sources import jsonl
+
+    path, out = shared_path(spark, "check-in"), shared_path(spark, "check-out")
+    broken = F.when(F.col("doc_id") % 50 == 7, F.lit("{")).otherwise("")
+    documents(spark, sf).select(F.concat(broken, F.to_json(F.struct("doc_id", "lang", "text"))).alias("value")).write.text(path)
+    jsonl.check_jsonl(spark, path, out, "repetition", passed_output=f"{out}/passed", failed_output=f"{out}/failed")
+    held = spark.read.text(f"{out}/passed").select(F.lit("passed").alias("sink"), "value").unionByName(spark.read.text(f"{out}/failed").select(F.lit("failed").alias("sink"), "value"))
+    lines = held.select("sink", F.from_json("value", "doc_id long, text string").alias("r")).select("sink", "r.doc_id", F.md5("r.text").alias("text_md5"))
+    bad = spark.read.text(f"{out}/issues.jsonl").select(F.from_json("value", "line_no long, bad_json boolean").alias("r")).where("r.bad_json")
+    return lines.unionByName(bad.agg(F.count("*").alias("doc_id")).select(F.lit("bad_json").alias("sink"), "doc_id", F.lit("").alias("text_md5")))
+
+
+def clean_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A clean run over lines of JSON: the summary's counters, and the lines it wrote, in their order."""
+    from ..sources import jsonl
+
+    path, out = shared_path(spark, "clean-in"), shared_path(spark, "clean-out")
+    table(spark, sf, "pages").select(F.to_json(F.struct("page_id", F.col("html").alias("content"))).alias("value")).write.text(path)
+    summary = jsonl.clean_jsonl(spark, path, out, rules="html_entity,forbidden_strings")
+    lines = spark.read.text(out).select(F.from_json("value", "page_id long, content string").alias("r"))
+    told = lines.select(F.lit("page").alias("kind"), F.col("r.page_id").cast("string").alias("name"), F.length("r.content").cast("long").alias("n"))
+    return told.unionByName(spark.createDataFrame([("stat", k, v) for k, v in summary["stats"].items()], "kind string, name string, n long"))
+
+
 def stream_clean(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as a stream through the cleaner, all that is there, into a table."""
     from ..streaming import streams
@@ -426,6 +483,7 @@ QUERIES: dict[str, Query] = {
     "clean_hex_contiguous": clean_hex_contiguous,
     "clean_hex_wrapped": clean_hex_wrapped,
     "clean_text_full": clean_text_full,
+    "clean_all_rules": clean_all_rules,
     "clean_pages": clean_pages,
     "clean_stats": clean_stats,
     "rule_spans": rule_spans,
@@ -434,6 +492,7 @@ QUERIES: dict[str, Query] = {
     "provenance": provenance,
     "moji_class_counts": moji_class_counts,
     "moji_patterns": moji_patterns,
+    "moji_floods": moji_floods,
     "moji_html_entity": moji_html_entity,
     "moji_window_hits": moji_window_hits,
     "moji_full_report": moji_full_report,
@@ -452,6 +511,7 @@ QUERIES: dict[str, Query] = {
     "subdedup_cn": subdedup_cn,
     "subdedup_cut": subdedup_cut,
     "pair_offsets": pair_offsets,
+    "pair_spans": pair_spans,
     "lang_route": lang_route,
     "has_script": has_script,
     "excerpts": excerpts,
@@ -477,6 +537,8 @@ QUERIES: dict[str, Query] = {
     "issue_types": issue_types,
     "clean_then_check": clean_then_check,
     "jsonl_round_trip": jsonl_round_trip,
+    "clean_run": clean_run,
+    "check_run": check_run,
     "stream_clean": stream_clean,
 }
 

@@ -5,7 +5,7 @@ import pytest
 pytest.importorskip("textloom.llm")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from textloom.llm import mixing, quality_rules  # noqa: E402
+from textloom.llm import common, mixing, quality_rules  # noqa: E402
 
 from . import brute  # noqa: E402
 
@@ -50,7 +50,14 @@ def test_stages(spark, tmp_path):
 
 
 def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    """Whole rows, and of the tables written on the way only the last stage's input and work are left."""
+    import glob
+
+    folder = common.scratch_path(spark, "x").rsplit("/", 1)[0].removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*"))
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0
+    assert {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{folder}/*")) - before} == {"mixing", "keys"}
 
 
 def test_repeated_and_odd_rows(spark, tmp_path):

@@ -55,6 +55,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that written() made in the calls of settled() that are running.
+_MADE: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends here.
 
@@ -62,6 +66,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _MADE:
+        _MADE[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
@@ -76,6 +82,20 @@ def discard(*frames: DataFrame) -> None:
             system.delete(found, True)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """written() of what make returns; the tables that were written on the way to it are deleted."""
+    _MADE.append([])
+    try:
+        out = written(make(), name)
+    finally:
+        paths = _MADE.pop()
+    for path in paths:
+        if path != out._scratch:
+            found, system = _hadoop_path(out.sparkSession, path)
+            system.delete(found, True)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

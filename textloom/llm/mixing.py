@@ -151,12 +151,12 @@ def taken(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
     every = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if _hashable(f.dataType)]).alias("_every")
     df = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _text_id(F.col("text")).alias("text_id"), whole.alias("_row"), every)
     sizes = written(df.select("doc_id", "source", "size", "text_id"), "sizes")
-    # rows that share a key, such as repeated ones, are numbered on both sides and get one entry each
-    made = drawn(sizes, weights, share, cap, seed).select(key, "copies")
-    made = made.withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy("copies"))).where("copies > 0")
+    # rows that share a key, such as repeated ones, differ by one copy at most: so many of them get one more than the rest
+    made = drawn(sizes, weights, share, cap, seed).select(key, "copies").groupBy("_key").agg(F.min("copies").alias("_least"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("_more"))
+    # numbered in the partitioning of the join: texts are shuffled once
     df = df.select(key, "_row", "_every").withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy("_every")))
-    out = df.join(made.hint("merge"), ["_key", "_i"])
-    return out.select("_row", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select("_row.*")
+    out = df.join(made.where("_least + _more > 0").hint("merge"), "_key").withColumn("_n", F.col("_least") + F.when(F.col("_i") <= F.col("_more"), 1).otherwise(0)).where("_n > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), "_n")).alias("_copy")).select("_row.*")
 
 
 def ranked_sources(sizes: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..kernels import textops
 from ..kernels.cleaner import PREVIEW
 from ..kernels.mojibake import RULES, THRESHOLDS, classes
 from .noise import literal, noisy_sql
-from .queries import ALL_NOISE, MOJIBAKE_NOISE, NOISY_RULES
+from .queries import ALL_NOISE, MADE_UNITS, MOJIBAKE_NOISE, NOISY_RULES
 
 SPACE, DIGITS = r"[\s\x{0B}]", "[0-9]"
 
@@ -270,6 +270,17 @@ ORACLES["repetition_findings"] = f"""WITH {_measures("documents", "doc_id")}, {_
         CASE WHEN longest >= 30 THEN printf('repetition_ngram:runaway_enum msg[0] consecutive=%d total_enum=%d/%d lines', longest, marked, n_lines)
         ELSE printf('repetition_ngram:runaway_enum msg[0] ratio=%.2f (%d/%d lines)', marked / n_lines, marked, n_lines) END FROM e JOIN d USING (doc_id) WHERE {_RUNAWAY})
     SELECT key AS doc_id, kind, repeated, total, top, top_count, reason FROM q"""
+ORACLES["repetition_reports"] = f"""WITH q AS ({ORACLES["repetition_findings"]}), k AS (SELECT *, CASE WHEN kind LIKE '%gram' THEN 1 WHEN kind = 'token_flood' THEN 2 ELSE 3 END AS place FROM q),
+    i AS (SELECT doc_id, string_agg(reason, '|' ORDER BY place) AS issues, string_agg('repetition_ngram', '|') AS types, first(reason ORDER BY place) AS one FROM k GROUP BY doc_id),
+    w AS (SELECT *, trim(regexp_extract(one, {literal(r"top='([^']+?)\.\.\.'")}, 1) || regexp_extract(one, {literal("token='([^']+)'")}, 1)) AS quoted FROM i)
+    SELECT doc_id, issues, types, length(text)::BIGINT AS content_len, md5(left(text, 100)) AS excerpt_md5, (CASE WHEN quoted <> '' AND contains(text, quoted) THEN strpos(text, quoted) - 1 END)::BIGINT AS "at" FROM w JOIN documents USING (doc_id)"""
+# most frequent rules first, of equals the one met first
+ORACLES["mojibake_reports"] = f"""WITH f AS ({ORACLES["moji_full_report"]}),
+    u AS (SELECT doc_id, start, unnest(string_split(rules, ',')) AS r, unnest(range(0, len(string_split(rules, ',')))) AS i FROM f),
+    n AS (SELECT doc_id, split_part(r, '=', 1) AS rule, sum(split_part(r, '=', 2)::BIGINT)::BIGINT AS n, min((start, i)) AS first FROM u GROUP BY doc_id, rule),
+    t AS (SELECT doc_id, sum(n)::BIGINT AS total, list(rule || '=' || n ORDER BY n DESC, first) AS rules FROM n GROUP BY doc_id),
+    o AS (SELECT doc_id, list('[' || start || ', ' || "end" || ']' ORDER BY start) AS spans FROM f GROUP BY doc_id)
+    SELECT doc_id, 'mojibake:hit_chars=' || total || ' rules=' || array_to_string(rules[:4], ',') || ' offsets=[' || array_to_string(spans[:3], ', ') || ']' AS issues FROM t JOIN o USING (doc_id)"""
 ORACLES["check_run"] = f"""WITH {_measures("documents", "doc_id")}, {_enum_lines("text")},
     q AS (SELECT m.key AS doc_id, flagged OR {_FLOOD.replace("n_chars", "m.n_chars")} OR {_RUNAWAY.replace("n_chars", "m.n_chars")} AS failed FROM m LEFT JOIN top ON top.key = m.key JOIN e ON e.doc_id = m.key)
     SELECT CASE WHEN failed THEN 'failed' ELSE 'passed' END AS sink, doc_id, md5(text) AS text_md5 FROM q JOIN documents USING (doc_id) WHERE doc_id % 50 <> 7
@@ -311,6 +322,11 @@ ORACLES |= {
         p AS (SELECT conv_id, turn, n, floor((n + m) / 4)::BIGINT AS s, ceil((n + m) * 3 / 4)::BIGINT AS e FROM a JOIN b USING (conv_id, turn))
         SELECT conv_id, turn, CASE WHEN s < n THEN 'src' ELSE 'tgt' END AS start_in, (CASE WHEN s = n THEN 0 WHEN s < n THEN s ELSE s - n - 1 END)::BIGINT AS start,
         CASE WHEN e - 1 <= n THEN 'src' ELSE 'tgt' END AS end_in, (CASE WHEN e - 1 = n THEN n WHEN e - 1 < n THEN e ELSE e - n - 1 END)::BIGINT AS "end" FROM p""",
+    # a text that begins with the unit keeps its last copy, any other its first; the blank before a Latin unit is the first character that repeats
+    "subdedup_made": f"""WITH m AS (SELECT doc_id, doc_id % 4 AS kind, doc_id % 11 + 1 AS k, doc_id % 3 = 0 AS bare, [{", ".join(map(literal, MADE_UNITS))}][doc_id % 4 + 1] AS u FROM documents),
+        p AS (SELECT *, length(u) AS n, CASE WHEN bare THEN 0 WHEN kind < 2 THEN 8 ELSE 3 END AS s FROM m WHERE k >= 5)
+        SELECT doc_id, (CASE WHEN bare THEN 0 ELSE s + n END)::BIGINT AS start, (s + k * n - CASE WHEN bare THEN n ELSE 0 END)::BIGINT AS "end", s::BIGINT AS unit_start, (s + n)::BIGINT AS unit_end, k::BIGINT AS repeats,
+        length(replace(replace(u, ' ', ''), '，', ''))::BIGINT AS char_len, (CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END)::BIGINT AS word_len, FALSE AS is_special FROM p""",
     "pair_spans": """WITH a AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn - 1 AS turn, length(text) AS m FROM conversations WHERE role = 'assistant'),
         p AS (SELECT conv_id, turn, n, m, floor((n + m) / 4)::BIGINT AS s, ceil((n + m) * 3 / 4)::BIGINT AS e FROM a JOIN b USING (conv_id, turn))
         SELECT conv_id, turn, 'src' AS side, s AS start, least(e, n)::BIGINT AS "end" FROM p WHERE s < n

@@ -249,6 +249,20 @@ def subdedup_cn(spark: SparkSession, sf: str) -> DataFrame:
     return _found(rows, F.lit("cn"))
 
 
+#: Units for texts made to repeat: Latin of one and of two words, Han without and with a mark.
+MADE_UNITS = ("lorem ", "ipsum dolor ", "你好吗", "天，地")
+
+
+def subdedup_made(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings in texts made of a beginning, or none, a unit up to eleven times, and an end."""
+    unit = F.get(F.array(*[F.lit(u) for u in MADE_UNITS]), (F.col("doc_id") % 4).cast("int"))
+    latin = F.col("doc_id") % 4 < 2
+    begin = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.when(latin, "Lead in. ").otherwise("前文。"))
+    made = F.concat(begin, F.repeat(unit, (F.col("doc_id") % 11 + 1).cast("int")), F.when(latin, "goes on").otherwise("后文"))
+    rows = documents(spark, sf).select("doc_id", made.alias("text"), F.when(latin, "en").otherwise("cn").alias("told"))
+    return subdup.findings(rows, "doc_id", lang=F.col("told")).drop("lang")
+
+
 def subdedup_cut(spark: SparkSession, sf: str) -> DataFrame:
     """Texts without what the findings mask."""
     rows = subdup.deduplicated(documents(spark, sf), "doc_id")
@@ -358,6 +372,19 @@ def qc_stats(spark: SparkSession, sf: str) -> DataFrame:
     return quality.statistics(quality.reports(documents(spark, sf), "text", "lang"))
 
 
+def repetition_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of the repetition check on documents that fail it: issues, excerpt, and where the first quoted passage stands."""
+    rows = quality.failed(quality.reports(documents(spark, sf), "text", checks="repetition", excerpt_chars=100))
+    at = F.get_json_object("highlights", "$[0].offset[0]").cast("long")
+    return rows.select("doc_id", F.array_join("issues", "|").alias("issues"), F.array_join("issue_types", "|").alias("types"), F.col("content_len").cast("long").alias("content_len"), F.md5("content_excerpt").alias("excerpt_md5"), at.alias("at"))
+
+
+def mojibake_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Issue lines of the mojibake check: characters hit, the four rules that hit most, and the first three lines."""
+    rows = documents(spark, sf).select("doc_id", noisy(F.col("text"), *MOJIBAKE_NOISE).alias("text"))
+    return quality.failed(quality.reports(rows, "text", checks="mojibake")).select("doc_id", F.array_join("issues", "|").alias("issues"))
+
+
 def pass_fail_split(spark: SparkSession, sf: str) -> DataFrame:
     """Passing and failing documents by the n-gram check, with their characters."""
     rows = repetition.flags(repetition.measures(documents(spark, sf), "doc_id")).withColumn("failed", F.col("ngram_flag") | F.col("token_flood") | F.col("runaway_enum"))
@@ -509,6 +536,7 @@ QUERIES: dict[str, Query] = {
     "word_run_max": word_run_max,
     "subdedup_en": subdedup_en,
     "subdedup_cn": subdedup_cn,
+    "subdedup_made": subdedup_made,
     "subdedup_cut": subdedup_cut,
     "pair_offsets": pair_offsets,
     "pair_spans": pair_spans,
@@ -532,6 +560,8 @@ QUERIES: dict[str, Query] = {
     "article_titles": article_titles,
     "article_quotes": article_quotes,
     "qc_stats": qc_stats,
+    "repetition_reports": repetition_reports,
+    "mojibake_reports": mojibake_reports,
     "pass_fail_split": pass_fail_split,
     "issue_topk": issue_topk,
     "issue_types": issue_types,

@@ -64,8 +64,9 @@ TABLE = (
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count(text: Column, pattern: str) -> Column:
+    """How many characters of a class a text has: by its length without their runs, so that neither few nor many make an array."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))
 
 
 def _covered(starts: Column) -> Column:
@@ -91,10 +92,10 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     made = {
         "one": F.lit(1),
         "n_words": F.col("_n"),
-        "word_chars": F.length(F.translate(held, SPACE, "")),
-        "n_symbols": _without(held, SYMBOLS),
-        "n_exclaims": _without(held, "!"),
-        "n_upper": _without(held, UPPER),
+        "word_chars": F.length(F.concat_ws("", "_w")),
+        "n_symbols": _count(held, f"[{SYMBOLS}]"),
+        "n_exclaims": _count(held, "!"),
+        "n_upper": _count(held, "[A-Z]"),
         "n_stop_words": F.size(stop),
         "n_lines": F.size("_l"),
         "n_dup_lines": F.size("_l") - F.size(F.array_distinct("_l")),

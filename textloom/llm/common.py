@@ -158,5 +158,17 @@ def worker_memo(name: str, make: Callable):
     return memo[name]
 
 
+#: Bytes of files up to which a table of few files may be dealt out over the cores.
+SMALL_TABLE = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table for one pass that is all work: a small one in fewer files than there are cores, such as a file of a single row
+    group, is dealt out over them; any other, having splits enough, stays where it lies. The size is the plan's, so nothing is read for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size <= SMALL_TABLE and len(df.inputFiles()) < cores else df

@@ -7,7 +7,7 @@ grow. Paths shorten by half a round, so rounds grow with the logarithm of the lo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import discard, written
@@ -27,8 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         found = jumped.join(near, "node").select("node", "was", F.least("label", "seen").alias("label"))
         told = found.groupBy(F.col("was").alias("node")).agg(F.min("label").alias("told"))
         step = found.join(told, "node", "left").select("node", "was", F.least("label", F.coalesce("told", "label")).alias("label"))
-        new = written(step, "labels")
-        moved = new.where("label <> was").limit(1).count()
+        seen = Observation()  # told by the write itself
+        new = written(step.observe(seen, F.count(F.when(F.col("label") != F.col("was"), 1)).alias("moved")), "labels")
+        moved = seen.get["moved"]
         discard(labels)
         labels = new.drop("was")
         if not moved:

@@ -243,6 +243,8 @@ def hot_values(sets: DataFrame) -> np.ndarray:
     """The most frequent retained values, sorted: those of long lists, but MAX_HOT at most."""
     found = written(sets.select(F.explode("sketch").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LIST_BLOCK), "hot")
     by_size = found.groupBy(F.log2("n").cast("int").alias("bits")).count().collect()  # a row for each power of two
+    if not by_size:
+        return np.zeros(0, np.uint64)
     total, least = 0, 64
     for bits, n in sorted(((r["bits"], r["count"]) for r in by_size), reverse=True):
         total += n

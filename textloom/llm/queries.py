@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_extract, line_dedup, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_files, url_filter
-from .common import table
+from .common import dealt, table
 
 
 #: The contract of op8: 3-word shingles, similarity 0.85.
@@ -16,15 +16,15 @@ SHINGLE_WORDS, SHINGLE_PERCENT = 3, 85
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"), digest=True)
+    return substring_dedup.deduplicated(dealt(table(spark, sf_dir, "documents")), digest=True)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.leaks(dealt(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(table(spark, sf_dir, "documents")).withColumn("failed_rules", F.array_join("failed_rules", ","))
+    return quality_rules.judged(dealt(table(spark, sf_dir, "documents"))).withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents"), SHINGLE_WORDS, SHINGLE_PERCENT)
+    return near_dedup.classes(dealt(table(spark, sf_dir, "documents")), SHINGLE_WORDS, SHINGLE_PERCENT)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

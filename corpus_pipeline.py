@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import decontamination, mixing, near_dedup, quality_rules, sharding
-from textloom.llm.common import discard, settled, table
+from textloom.llm.common import dealt, discard, settled, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         before, docs = docs, settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
         discard(before)

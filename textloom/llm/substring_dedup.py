@@ -68,6 +68,21 @@ def _restored(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers of one length as compressed byte planes of their steps, which are mostly small."""
+    steps = np.diff(np.stack(arrays).astype("<i8"), axis=1, prepend=0)
+    planes = np.ascontiguousarray(steps).view(np.uint8).reshape(len(arrays), -1, 8).transpose(0, 2, 1)
+    return _squeezed(struct.pack("<q", steps.shape[1]) + planes.tobytes())
+
+
+def _unpacked(blob: bytes, k: int) -> np.ndarray:
+    """The k arrays of _packed()."""
+    data = _restored(blob)
+    (n,) = struct.unpack_from("<q", data)
+    planes = np.frombuffer(data, np.uint8, 8 * k * n, 8).reshape(k, 8, n)
+    return np.cumsum(np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(k, n), axis=1)
+
+
 # 1. chunks
 
 
@@ -163,7 +178,7 @@ def chunked(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
             h, at = chunk.hashes(), chunk.windows(window)
             again = _repeated(_window_hashes(h, window)[at], at)
             seeds, count = np.unique(_seeds(h, window, seed)[at], return_counts=True)
-            blobs = [chunk.packed(), _deltas(seeds), seeds[count > many].astype("<u8").tobytes(), _squeezed(again.astype("<i8").tobytes())]
+            blobs = [chunk.packed(), _deltas(seeds), seeds[count > many].astype("<u8").tobytes(), _packed(again[0], again[0] - again[1])]
             return pa.record_batch([pa.array([part + n]), pa.array([len(h)]), *(pa.array([x], pa.binary()) for x in blobs)], ["chunk", "n_words", "blob", "seeds", "heavy", "again"])
 
         for batch in batches:
@@ -248,13 +263,13 @@ class Runs:
         self.place, self.count, self.doc, self.text = place, count, doc, text
 
     def packed(self) -> bytes:
-        return _squeezed(struct.pack("<q", len(self.place)) + b"".join(x.astype("<i8").tobytes() for x in (self.place, self.count, self.doc)) + self.text)
+        head = _packed(self.place, self.count, self.doc)
+        return struct.pack("<q", len(head)) + head + _squeezed(self.text)
 
     @classmethod
     def unpacked(cls, blob: bytes) -> Runs:
-        data = _restored(blob)
-        (n,) = struct.unpack_from("<q", data)
-        return cls(*np.frombuffer(data, "<i8", 3 * n, 8).reshape(3, n), data[8 + 24 * n :])
+        (n,) = struct.unpack_from("<q", blob)
+        return cls(*_unpacked(blob[8 : 8 + n], 3), _restored(blob[8 + n :]))
 
 
 def _suffix_blocks(n_groups: int, n_buckets: int, window: int, seed: int):
@@ -265,7 +280,7 @@ def _suffix_blocks(n_groups: int, n_buckets: int, window: int, seed: int):
         chunk = Chunk.unpacked(blob)
         h, at = chunk.hashes(), chunk.windows(window)
         alone = np.ones(len(h), bool)
-        alone[np.frombuffer(_restored(again), "<i8").reshape(2, -1)[0]] = False
+        alone[_unpacked(again, 2)[0]] = False
         at = at[alone[at]]  # distinct windows, each once
         mine = _seeds(h, window, seed)[at]
         hit = np.searchsorted(seeds, mine)
@@ -407,7 +422,7 @@ def _subtrees(window: int, last: bool):
             h = hit[edges[i] : edges[i + 1]]
             if len(h):
                 names.append(name)
-                blobs.append(_squeezed(np.stack([places[run[h]] + inside[h], depth[h]]).astype("<i8").tobytes()))
+                blobs.append(_packed(places[run[h]] + inside[h], depth[h]))
         cols = [names, blobs, *([None] * len(names) for _ in range(3))]
         bucket = rows.column("bucket")[0].as_py()
         if not last and bucket >= 0:
@@ -440,10 +455,11 @@ def marked(chunk: Chunk, window: int, again: bytes, replies: list[bytes]) -> np.
         np.add.at(edge, ends, -1)
         return np.cumsum(edge)[:-1] > 0
 
-    found = np.concatenate([np.zeros((2, 0), np.int64), *(np.frombuffer(_restored(b), "<i8").reshape(2, -1) for b in replies)], axis=1)
+    found = np.concatenate([np.zeros((2, 0), np.int64), *(_unpacked(b, 2) for b in replies)], axis=1)
     place, length = found
     foreign = covered(place, place + length - window + 1)  # windows that a smaller document of another chunk has
-    later, first = np.frombuffer(_restored(again), "<i8").reshape(2, -1)
+    later, back = _unpacked(again, 2)
+    first = later - back
     here = foreign[first] | (chunk.ids[chunk.doc[first]] < chunk.ids[chunk.doc[later]])
     gone = np.concatenate([np.flatnonzero(foreign), later[here]])
     return covered(gone, gone + window)

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, sweep, written
 from .near_dedup import WordHashes, _mixed
 
 WINDOW = 13
@@ -514,6 +514,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, digest
         if n_buckets == 1:
             break
         left, n_buckets = found.where("suffixes is not null").select("grp", "bucket", "chunk", "suffixes"), -(-n_buckets // FAN)
+    sweep(spark)
     hits = hits.groupBy("chunk").agg(F.collect_list("hits").alias("hits"))
     last = "kept_sha256 string" if digest else "kept_text string, spans array<struct<start: long, end: long>>"
     rows = chunks.select("chunk", "blob", "again").join(hits.hint("merge"), "chunk", "left").select("blob", "again", "hits")

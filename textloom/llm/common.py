@@ -6,7 +6,6 @@ Words are maximal runs of anything but the six ASCII white-space characters
 
 from __future__ import annotations
 
-import gc
 import re
 import sys
 import tempfile
@@ -97,12 +96,6 @@ def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
-def sweep(spark: SparkSession) -> None:
-    """Have the driver's JVM find what finished steps no longer hold, so that Spark deletes their shuffle files before the next step writes its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

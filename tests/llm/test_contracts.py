@@ -336,6 +336,39 @@ def test_near_dedup_in_blocks(spark, real, odd, monkeypatch):
         same(near_dedup.classes(df, 3, 85), brute.op8(data, 3, 85), "doc_id", "n_shingles", "component_id", "kept")
 
 
+def shuffled(spark):
+    """Bytes that shuffles wrote, by stage, of the session's last 1,000 stages."""
+    jvm, args = spark._jvm, spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, args, jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_near_dedup_shuffles_texts_of_clusters_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CLUSTER_BLOCK", 1000)  # a cluster of several blocks is confirmed in two rounds
+    rnd = random.Random(6)
+    texts = [" ".join(f"{rnd.getrandbits(64):x}" for _ in range(1500)) for _ in range(200)]
+    texts += [f"{texts[0]} tail{i}" for i in range(4)]
+    texts += [" ".join([f"{rnd.getrandbits(64):x}" for _ in range(80)] + texts[0].split()[80:]) for _ in range(2)]
+    data = list(enumerate(texts))
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    before = shuffled(spark)
+    same(near_dedup.classes(df, 3, 85), brute.op8(data, 3, 85), "doc_id", "n_shingles", "component_id", "kept")
+    written = sum(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert 0 < written < sum(map(len, texts)) / 2
+
+
+def test_filter_of_texts_loses_none(spark, monkeypatch):
+    ids = spark.range(-9000, 9000).selectExpr("id as doc_id", "xxhash64(string(id)) as text_id", "string(id) as text")
+    some = ids.where("doc_id % 3 = 0").select("doc_id", "text_id")
+    for most, passed in ((1 << 26, 0.1), (1 << 15, 0.3)):
+        monkeypatch.setattr(near_dedup, "MAX_TOLD", most)
+        found = near_dedup.sought(ids, some)
+        assert found.columns == ids.columns and found.count() < 6000 + passed * 12000
+        assert found.where("doc_id % 3 = 0").count() == 6000
+    assert near_dedup.sought(ids, some.where("false")).count() == 0
+
+
 def test_near_dedup_exact(spark, real, odd):
     for df, data in (real, odd):
         same(near_dedup.classes(df, 3, 85, exact=True), brute.op8(data, 3, 85), "doc_id", "n_shingles", "component_id", "kept")

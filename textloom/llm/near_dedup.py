@@ -49,6 +49,8 @@ CLUSTER_BLOCK = 500_000
 MAX_HOT = 1 << 20
 #: Documents of a list or cluster that join its blocks, about.
 BRIDGES = 16
+#: Bits a text is told by before it is shuffled: for each text sought, and at most (8 MB, broadcast).
+TOLD_BITS, MAX_TOLD = 16, 1 << 26
 #: Words a task remembers.
 MAX_WORDS = 400_000
 PAD = np.uint64(2**64 - 1)
@@ -326,14 +328,28 @@ def candidate_edges(sets: DataFrame, percent: int, exact: bool = False) -> DataF
     return _meet(rows, ["key", "cls"], LIST_BLOCK, edges)
 
 
+def sought(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts whose doc_id and text_id are in rows and, by chance, one in TOLD_BITS of the others, so that few are shuffled for nothing.
+
+    Bitmaps of hashed keys are broadcast. Beyond MAX_TOLD bits more of the others pass; none of those sought is ever held back.
+    """
+    bits = min(MAX_TOLD, max(1 << 15, 1 << (TOLD_BITS * rows.count() - 1).bit_length()))  # bitmaps are of 1 << 15 each
+    at = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id"), F.col("text_id")), F.lit(bits))
+    maps = rows.select(at.alias("_at")).groupBy(F.shiftright("_at", 15).alias("_map")).agg(F.bitmap_construct_agg(F.col("_at").bitwiseAND((1 << 15) - 1)).alias("_bits"))
+    told = texts.withColumn("_at", at).withColumn("_map", F.shiftright("_at", 15)).join(F.broadcast(maps), "_map")
+    bit = F.col("_at").bitwiseAND((1 << 15) - 1).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3) + 1, 1)), 16, 10).cast("int")
+    return told.where(F.getbit(byte, bit.bitwiseAND(7)) == 1).select(texts.columns)
+
+
 def confirmed_edges(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
     """Edges of the components that exact links make. clusters: node, cluster, n_shingles and the doc_id and text_id of a row."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
 
     def edges(dealt: DataFrame, keys: list[str]) -> DataFrame:
-        rows = dealt.join(clusters.select("node", "doc_id", "text_id"), "node")
-        inner = texts.join(rows.hint("merge"), ["doc_id", "text_id"]).select(*keys, "node", "text")
+        rows = written(dealt.join(clusters.select("node", "doc_id", "text_id"), "node"), "dealt")
+        inner = sought(texts, rows).join(rows.hint("merge"), ["doc_id", "text_id"]).select(*keys, "node", "text")
         inner = inner.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "node")
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

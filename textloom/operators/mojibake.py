@@ -36,6 +36,16 @@ def hits(text: Column, unassigned: bool = True, thresholds: dict[str, int] | Non
     return F.coalesce(run, F.array().cast(f"array<{HIT}>"))
 
 
+def line_counts(text: Column) -> Column:
+    """Every line that hits and its counts, as array<struct<start, end, rules>>: what hits() tells, without ratios and positions."""
+    detector, kind = Detector(), "array<struct<start:int,end:int,rules:array<struct<rule:string,n:int>>>>"
+
+    def one(value: str) -> list[dict]:
+        return [{"start": start, "end": end, "rules": [{"rule": r, "n": len(at)} for r, at in places.items()]} for start, end, places in detector.lines(value)]
+
+    return F.coalesce(kernel(one, kind)(F.when(may_hit(text), text)), F.array().cast(kind))
+
+
 def rule_counts(df: DataFrame, key: str, column: str = "text", rules: tuple[str, ...] = RULES) -> DataFrame:
     """key and one long column for each rule: the characters it hits, natively."""
     text = F.col(f"`{column}`")

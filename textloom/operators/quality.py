@@ -23,25 +23,28 @@ from .kernel_udfs import kernel
 REPORT = "struct<issues:array<string>,issue_types:array<string>,highlights:string>"
 
 
-def checked(text: Column, lang: Column, checks: str | Iterable[str] | None = None) -> Column:
-    """struct<failed, issues, issue_types, highlights (JSON)> of a text."""
-    checker = k.Checker(k.parse_checks(checks))
+def checked(text: Column, lang: Column, checks: str | Iterable[str] | None = None, highlights: bool = True) -> Column:
+    """struct<issues, issue_types, highlights (JSON; null if not asked for)> of a text."""
+    checker = k.Checker(k.parse_checks(checks), highlights)
 
     def one(value: str, told: str) -> dict:
         try:
             issues, shown = checker(value, told)
         except Exception as error:
             issues, shown = [f"check_error:{str(error)[: k.CHECK_ERROR_CHARS]}"], []
-        return {"issues": issues, "issue_types": [k.issue_type(x) for x in issues], "highlights": json.dumps(shown, ensure_ascii=False)}
+        return {"issues": issues, "issue_types": [k.issue_type(x) for x in issues], "highlights": json.dumps(shown, ensure_ascii=False) if highlights else None}
 
     return kernel(one, REPORT)(held(text), lang)
 
 
-def reports(df: DataFrame, column: str = "text", lang: str | None = None, checks: str | Iterable[str] | None = None, excerpt_chars: int = k.BATCH_EXCERPT) -> DataFrame:
-    """df with failed, issues, issue_types, highlights, content_len, checked_lang and content_excerpt."""
+def reports(df: DataFrame, column: str = "text", lang: str | None = None, checks: str | Iterable[str] | None = None, excerpt_chars: int = k.BATCH_EXCERPT, highlights: bool = True) -> DataFrame:
+    """df with failed, issues, issue_types, highlights, content_len, checked_lang and content_excerpt.
+
+    Highlights are many times the text where much is hit; who does not read them leaves them out, and they are null.
+    """
     text = held(F.col(f"`{column}`"))
     told = language(text, F.col(f"`{lang}`") if lang else None)
-    out = df.withColumn("checked_lang", told).withColumn("_q", checked(text, F.col("checked_lang"), checks))
+    out = df.withColumn("checked_lang", told).withColumn("_q", checked(text, F.col("checked_lang"), checks, highlights))
     failed = F.size("_q.issues") > 0
     made = {
         "failed": failed,

@@ -167,10 +167,9 @@ def moji_window_hits(spark: SparkSession, sf: str) -> DataFrame:
 def moji_full_report(spark: SparkSession, sf: str) -> DataFrame:
     """Every line that hits, and its counts by rule, by the exact detector."""
     rows = documents(spark, sf).select("doc_id", noisy(F.col("text"), *MOJIBAKE_NOISE).alias("text"))
-    hits = rows.select("doc_id", F.explode(mojibake.hits(F.col("text"))).alias("h"))
-    detail = F.filter(F.map_entries("h.detail"), lambda e: e["value"]["hit_num"] > 0)
-    told = F.array_join(F.transform(detail, lambda e: F.concat(e["key"], F.lit("="), e["value"]["hit_num"].cast("string"))), ",")
-    return hits.select("doc_id", F.get("h.offset", F.lit(0)).alias("start"), F.get("h.offset", F.lit(1)).alias("end"), told.alias("rules"))
+    rows = rows.select("doc_id", F.inline(mojibake.line_counts(F.col("text"))))
+    told = F.array_join(F.transform("rules", lambda r: F.concat(r["rule"], F.lit("="), r["n"].cast("string"))), ",")
+    return rows.select("doc_id", "start", "end", told.alias("rules"))
 
 
 # ---- repetition ----
@@ -369,7 +368,7 @@ def article_quotes(spark: SparkSession, sf: str) -> DataFrame:
 
 def qc_stats(spark: SparkSession, sf: str) -> DataFrame:
     """All checks over the documents: how many pass, and issues by type."""
-    return quality.statistics(quality.reports(documents(spark, sf), "text", "lang"))
+    return quality.statistics(quality.reports(documents(spark, sf), "text", "lang", highlights=False))
 
 
 def repetition_reports(spark: SparkSession, sf: str) -> DataFrame:
@@ -382,7 +381,7 @@ def repetition_reports(spark: SparkSession, sf: str) -> DataFrame:
 def mojibake_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Issue lines of the mojibake check: characters hit, the four rules that hit most, and the first three lines."""
     rows = documents(spark, sf).select("doc_id", noisy(F.col("text"), *MOJIBAKE_NOISE).alias("text"))
-    return quality.failed(quality.reports(rows, "text", checks="mojibake")).select("doc_id", F.array_join("issues", "|").alias("issues"))
+    return quality.failed(quality.reports(rows, "text", checks="mojibake", highlights=False)).select("doc_id", F.array_join("issues", "|").alias("issues"))
 
 
 def pass_fail_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -399,14 +398,14 @@ def issue_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def issue_types(spark: SparkSession, sf: str) -> DataFrame:
     """Issues by type, language and source, with subtotals."""
-    rows = quality.reports(documents(spark, sf), "text", "lang").select("lang", "source", F.explode("issue_types").alias("issue"))
+    rows = quality.reports(documents(spark, sf), "text", "lang", highlights=False).select("lang", "source", F.explode("issue_types").alias("issue"))
     return rows.cube("lang", "source").agg(F.count("*").alias("n"), F.countDistinct("issue").alias("n_types"))
 
 
 def clean_then_check(spark: SparkSession, sf: str) -> DataFrame:
     """The mojibake check on cleaned pages, some of which hold replacement characters, that the cleaner leaves."""
     rows = table(spark, sf, "pages").select("page_id", noisy(F.col("html"), "fffd").alias("html"))
-    checked = quality.reports(clean.clean(rows, "html"), "html", checks="mojibake")
+    checked = quality.reports(clean.clean(rows, "html"), "html", checks="mojibake", highlights=False)
     return checked.groupBy("failed").agg(F.count("*").alias("n_pages"), F.sum("page_id").alias("ids"))
 
 

@@ -1,8 +1,8 @@
-"""Kernels as Arrow functions over columns: one call a batch, compiled once a task."""
+"""Kernels as Arrow functions over columns: compiled once a task, and mapped over a few rows at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -10,26 +10,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, _parse_datatype_string
 
+#: Rows that are Python objects at a time, and about the bytes of results that are sent at once: so a worker's memory does not
+#: depend on how many rows a batch has, only on the longest rows.
+ROWS, SENT = 64, 4 << 20
+
 
 def kernel(fn: Callable, returns: str) -> Callable[..., Column]:
     """A column function that maps fn over rows; a row with a null first argument gives null.
 
     fn takes Python values and returns what ``returns`` (a DDL type) describes: a dict for a struct.
+    Spark is told that it is not deterministic, as it computes what filters or generators read a second time otherwise: below them, to drop rows early.
     """
 
     kind: DataType | None = None
     arrow: pa.DataType | None = None
 
-    def batch(*columns: pa.Array) -> pa.Array:
-        values = [c.to_pylist() for c in columns]
-        return pa.array([None if row[0] is None else fn(*row) for row in zip(*values)], type=arrow)
+    def batch(*columns: pa.Array) -> Iterator[pa.Array]:
+        made, size = [], 0
+        for at in range(0, len(columns[0]), ROWS):
+            values = [c.slice(at, ROWS).to_pylist() for c in columns]
+            made.append(pa.array([None if row[0] is None else fn(*row) for row in zip(*values)], type=arrow))
+            size += made[-1].nbytes
+            if size >= SENT:
+                yield pa.concat_arrays(made)
+                made, size = [], 0
+        if made:
+            yield pa.concat_arrays(made)
 
     def udf(n: int):
         nonlocal kind, arrow
         if kind is None:
             kind = _parse_datatype_string(returns)
             arrow = to_arrow_type(kind)
-        return F.arrow_udf(_with_arity(batch, n), returnType=kind)
+        return F.arrow_udf(_with_arity(batch, n), returnType=kind).asNondeterministic()
 
     def call(*columns: Column) -> Column:
         return udf(len(columns))(*columns)
@@ -42,13 +55,15 @@ def _with_arity(batch: Callable, n: int) -> Callable:
     """Arrow functions are told by their annotated parameters."""
     if n == 1:
 
-        def one(a: pa.Array) -> pa.Array:
-            return batch(a)
+        def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for a in batches:
+                yield from batch(a)
 
         return one
 
-    def two(a: pa.Array, b: pa.Array) -> pa.Array:
-        return batch(a, b)
+    def two(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            yield from batch(a, b)
 
     return two
 

@@ -56,16 +56,31 @@ def java_class(*classes: Ranges, negated: bool = False) -> str:
 
 
 def java_rare(*classes: Ranges) -> str:
-    """The same for a class of many ranges: ASCII is told by one comparison, and the ranges are tried for other characters only.
+    """The same for a class of many ranges. The JVM asks every range of a class, so ASCII and the widest gaps are told first, and the ranges by a tree.
 
     Characters beyond the basic plane stand as they are: a look-behind reads them whole only then.
     """
+    one = lambda p: chr(p) if p > 0xFFFF else rf"\x{{{p:X}}}"
+    written = lambda cls: "".join(one(a) + ("" if a == b else "-" + one(b)) for a, b in cls)
+
+    def tree(cls: Ranges) -> str:
+        if len(cls) <= _LEAF:
+            return f"[{written(cls)}]"
+        size = -(-len(cls) // _LEAF)
+        parts = [cls[i : i + size] for i in range(0, len(cls), size)]
+        return "(?:" + "|".join(f"(?=[{written(((p[0][0], p[-1][1]),))}]){tree(p)}" for p in parts) + ")"
+
     ascii_part, rest = (ranges(p for p in points(*classes) if (p < 128) is low) for low in (True, False))
-    written = "".join((chr(a) if a > 0xFFFF else rf"\x{{{a:X}}}") + ("" if a == b else "-" + (chr(b) if b > 0xFFFF else rf"\x{{{b:X}}}")) for a, b in rest)
-    found = rf"(?![\x00-\x7F])[{written}]"
+    gaps = [(a + 1, b - 1) for (_, a), (b, _) in zip(((0, 0x7F), *rest), rest) if b <= 0x10000 and b - a > _WIDE]
+    widest = sorted(sorted(gaps, key=lambda g: g[0] - g[1])[:_LEAF]) if len(rest) > _LEAF else []
+    found = rf"(?![\x00-\x7F{written(widest)}]){tree(rest)}"
     return f"(?:{java_class(ascii_part)}|{found})" if ascii_part else f"(?:{found})"
 
 
+#: Ranges of a class, or parts of a tree, that are tried one after the other; the least width of a gap that is told first.
+_LEAF, _WIDE = 8, 64
+
+
 def category(*names: str) -> Ranges:
     """All code points of these general categories (two letters, or one for all that start with it)."""
     found = []

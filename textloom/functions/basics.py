@@ -23,7 +23,7 @@ def held(text: Column) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(held(text), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(held(text), F.lit("".join(map(chr, sorted(cs.points(cs.PY_SPACE))))))
 
 
 def without(text: Column, pattern: str) -> Column:

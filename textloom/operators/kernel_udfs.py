@@ -18,7 +18,7 @@ ROWS, SENT = 64, 4 << 20
 def kernel(fn: Callable, returns: str) -> Callable[..., Column]:
     """A column function that maps fn over rows; a row with a null first argument gives null.
 
-    fn takes Python values and returns what ``returns`` (a DDL type) describes: a dict for a struct.
+    fn takes Python values, a numpy array for an array of longs, and returns what ``returns`` (a DDL type) describes: a dict for a struct.
     Spark is told that it is not deterministic, as it computes what filters or generators read a second time otherwise: below them, to drop rows early.
     """
 
@@ -28,7 +28,7 @@ def kernel(fn: Callable, returns: str) -> Callable[..., Column]:
     def batch(*columns: pa.Array) -> Iterator[pa.Array]:
         made, size = [], 0
         for at in range(0, len(columns[0]), ROWS):
-            values = [c.slice(at, ROWS).to_pylist() for c in columns]
+            values = [_values(c.slice(at, ROWS)) for c in columns]
             made.append(pa.array([None if row[0] is None else fn(*row) for row in zip(*values)], type=arrow))
             size += made[-1].nbytes
             if size >= SENT:
@@ -51,6 +51,13 @@ def kernel(fn: Callable, returns: str) -> Callable[..., Column]:
     return call
 
 
+def _values(rows: pa.Array) -> list:
+    if not (pa.types.is_list(rows.type) and pa.types.is_int64(rows.type.value_type)) or rows.null_count or not len(rows):
+        return rows.to_pylist()
+    flat, ends = rows.flatten().to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
+    return [flat[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:])]
+
+
 def _with_arity(batch: Callable, n: int) -> Callable:
     """Arrow functions are told by their annotated parameters."""
     if n == 1:

@@ -1,4 +1,4 @@
-"""Repetition checks over DataFrames, natively; and the exact findings with what they quote.
+"""Repetition checks over DataFrames, natively but for the sorting of n-grams; and the exact findings with what they quote.
 
 Defined results: null and empty texts have no findings; an empty table gives an empty result.
 """
@@ -13,6 +13,7 @@ from ..functions.basics import held
 from ..kernels import repetition as k
 from .kernel_udfs import kernel, names
 
+GRAMS = "struct<g5:struct<total:long,repeated:long,top_count:long>,g10:struct<total:long,repeated:long,top_count:long>>"
 FINDING = "struct<kind:string,ratio:double,total:int,repeated:int,top:string,top_count:int,reason:string>"
 
 
@@ -21,19 +22,20 @@ def measures(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     text = held(F.col(f"`{column}`"))
     df = df.select(*names([key]), F.length(text).alias("n_chars"), native.visible(text).alias("_shown"))
     df = df.withColumn("n_visible", F.length("_shown")).withColumn("_tokens", native.tokens(F.col("_shown"))).withColumn("_numbers", native.numbers(F.col("_shown")))
-    df = df.withColumn("_five", native.ngram_counts(F.col("_tokens"), 5)).withColumn("_ten", native.ngram_counts(F.col("_tokens"), 10))
+    # n-grams are sorted outside the JVM, which is many times slower on arrays; no texts go there, only a hash of each token
+    df = df.withColumn("_grams", kernel(k.gram_counts, GRAMS)(native.token_hashes(F.col("_tokens"))))
     df = df.withColumn("_top", native.top_token(F.col("_tokens"))).withColumn("_enum", native.enum_lines(F.col("_shown")))
     return df.select(
         *names([key]),
         F.col("n_chars").cast("long").alias("n_chars"),
         F.col("n_visible").cast("long").alias("n_visible"),
         F.size("_tokens").cast("long").alias("n_tokens"),
-        F.col("_ten.total").alias("ngrams10"),
-        F.col("_ten.repeated").alias("repeated10"),
-        F.col("_ten.top_count").alias("top10"),
-        F.col("_five.total").alias("ngrams5"),
-        F.col("_five.repeated").alias("repeated5"),
-        F.col("_five.top_count").alias("top5"),
+        F.col("_grams.g10.total").alias("ngrams10"),
+        F.col("_grams.g10.repeated").alias("repeated10"),
+        F.col("_grams.g10.top_count").alias("top10"),
+        F.col("_grams.g5.total").alias("ngrams5"),
+        F.col("_grams.g5.repeated").alias("repeated5"),
+        F.col("_grams.g5.top_count").alias("top5"),
         F.col("_top.item").alias("top_token"),
         F.coalesce("_top.n", F.lit(0)).cast("long").alias("top_token_count"),
         F.size("_numbers").cast("long").alias("n_numbers"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import charsets as cs
 from ..kernels.cleaner import forbidden_pattern, single_owners
-from .basics import DIGIT, SPACE, held, hits, without
+from .basics import DIGIT, SPACE, held, hits, let, without
 
 _INDENT = cs.java_class(cs.chars(cs.INDENT))
 _SELECTOR = cs.java_class(cs.VARIATION_SELECTORS)
@@ -24,7 +24,7 @@ _GAP = cs.java_class(cs.PY_SPACE, cs.chars(cs.NOISE_SEPARATORS))
 #: Stands for a removed run while its neighbours are looked at; a code point that no text holds.
 _HOLE = "\ufdd0"
 NOISE_RUN = (
-    r"(?<![A-Za-z0-9])(?=[0-9]*[A-Za-z])(?=[A-Za-z]*[0-9])(?=[A-Za-z0-9]*?([A-Za-z0-9])\1{3})"
+    r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])(?=[A-Za-z0-9]*?([A-Za-z0-9])\1{3})"
     rf"([A-Za-z0-9]{{5,128}})(?![A-Za-z0-9])(?:{_GAP}+\2(?![A-Za-z0-9])){{{cs.NOISE_REPEATS - 1},}}+[ \t]*+"
 )
 #: That a character repeats is told before what it is.
@@ -118,10 +118,12 @@ def repeated_noise_token(text: Column) -> Column:
 
     def outside(piece: Column, i: Column) -> Column:  # a fence beside a piece counts as its neighbour
         left, right = F.when(i > 0, fence).otherwise(""), F.when(i < F.size(pieces) - 1, fence).otherwise("")
-        made = _noise_in(F.concat(left, piece, right))
-        return F.when(i % 2 == 0, F.substring(made, F.length(left) + 1, F.length(made) - F.length(left) - F.length(right))).otherwise(piece)
+        made = let(_noise_in(F.concat(left, piece, right)), lambda m: F.substring(m, F.length(left) + 1, F.length(m) - F.length(left) - F.length(right)))
+        return F.when(i % 2 == 0, made).otherwise(piece)
 
-    return F.when(held(text).rlike(NOISE_RUN), F.array_join(F.transform(pieces, outside), "```")).otherwise(held(text))
+    # most texts have no fence, and need no arrays
+    fenced = F.array_join(F.transform(pieces, outside), "```")
+    return F.when(held(text).contains("```"), F.when(held(text).rlike(NOISE_RUN), fenced).otherwise(held(text))).otherwise(_noise_in(held(text)))
 
 
 def hex_blob(text: Column) -> Column:
@@ -177,22 +179,16 @@ def may_change(text: Column, rules: Iterable[str]) -> Column:
         beyond += [cs.PUA]
     if "combining_decoration" in on:
         beyond += [cs.UCD.marks]
-    ascii_pattern = {
-        "forbidden_strings": forbidden_pattern(),
-        "repeated_noise_token": NOISE_RUN,
-        "hex_blob": r"[0-9A-Fa-f](?:[ \t\r]*[0-9A-Fa-f]){63}",
-        "html_entity": cs.HTML_ENTITY,
-        "line_boundary_space": LINE_END_SPACE,
-        "blank_line_collapse": r"\n\n\n",
-    }
+    # the first that is found settles it, so what is told at little cost comes first
     found = F.lit(False)
-    for rule, pattern in ascii_pattern.items():
+    for rule, pattern in (("html_entity", cs.HTML_ENTITY), ("blank_line_collapse", r"\n\n\n"), ("line_boundary_space", LINE_END_SPACE), ("forbidden_strings", forbidden_pattern())):
         if rule in on:
             found = found | held(text).rlike(pattern)
-    if "math_symbol_flood" in on:
-        found = found | held(text).rlike(FLOOD)
     if beyond:
         found = found | held(text).rlike(r"[^\x00-\x7F]") & held(text).rlike(cs.java_rare(*beyond))
+    for rule, pattern in (("math_symbol_flood", FLOOD), ("repeated_noise_token", NOISE_RUN), ("hex_blob", r"[0-9A-Fa-f](?:[ \t\r\n]*+[0-9A-Fa-f]){63}")):
+        if rule in on:
+            found = found | held(text).rlike(pattern)
     return found
 
 
